@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import decontaminate, language, quality, secrets, token_counts, token_ids
+from loomspan.llm import decontaminate, language, mixing, quality, secrets, token_counts, token_ids
 from loomspan.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampling(table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_token_ids, op5_decontaminate, op6_secret_scan, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secrets.secret_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql()}
