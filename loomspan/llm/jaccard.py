@@ -10,7 +10,7 @@ The first n-gram of the union of two sets lies in both with a chance of their
 similarity, so a pair at the threshold shares none of its first KEYS with a chance of
 (1 - threshold) ** KEYS, under ``MISS`` (1e-9): recall is 1 for all that can be
 measured. N-grams that more than ``HOT`` documents have as a key (licence lines) are
-ordered last, and a set with over a third of such n-grams takes the exact prefix.
+ordered last, and a set with over a fifth of such n-grams takes the exact prefix.
 
 Bands and signatures. Within a tile two sets are compared if their sizes are within the
 threshold of each other (a band of sizes) and if half of (sizes - differing bits of
@@ -43,6 +43,8 @@ from loomspan.session import settle
 N = 3
 THRESHOLD = 0.6
 MISS = 1e-9
+#: Chance that a pair at the threshold shares fewer keys than are asked for.
+MISS_SHARED = 1e-6
 HOT = 4096
 #: Hot n-grams that are ordered last at most; any choice gives the same pairs.
 HOT_MOST = 1 << 20
@@ -58,6 +60,16 @@ def key_count(threshold: float, miss: float = MISS) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))
 
 
+def least_common(threshold: float, keys: int, miss: float = MISS_SHARED) -> int:
+    """Keys that two sets with ``keys`` keys each share at least, but for a chance of ``miss``."""
+    below = 0.0
+    for c in range(keys + 1):
+        below += math.comb(keys, c) * threshold**c * (1 - threshold) ** (keys - c)
+        if below > miss:
+            return max(c, 1)
+    return 1
+
+
 def ngram_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending and distinct within each document, how many per document)."""
     start, end, per = words(buf, off)
@@ -106,7 +118,7 @@ def signatures(docs: DataFrame, n: int, threshold: float, miss: float, hot: np.n
                 take = np.minimum(prefix, most)
                 if last is not None:
                     is_hot = last[np.minimum(np.searchsorted(last, gram), len(last) - 1)] == gram
-                    take = np.where(segment_sum(is_hot, size) * 3 > size, prefix, take)
+                    take = np.where(segment_sum(is_hot, size) * 5 > size, prefix, take)
                     order = np.lexsort((rank, is_hot, owner))
                     gram = gram[order]
                 take = np.where(size > 0, np.minimum(take, size), 0)
@@ -129,7 +141,7 @@ def _keys_of(sets: DataFrame) -> DataFrame:
     return sets.where("head").select("doc_id", F.explode("keys").alias("key"))
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+def candidates(sets: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
     """(tile, block_a, block_b, a, b, size_a, size_b) of distinct sets that pass bands and bitmaps, each pair once."""
     heads = sets.where("head")
     met = _keys_of(sets).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
@@ -141,11 +153,14 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     both = F.col("x.size") + F.col("y.size")
     need = both * (threshold / (1 + threshold)) - 1e-9
     earlier = lambda s: F.slice(F.col(f"{s}.keys"), F.lit(1), F.col(f"{s}.place") - 1)
+    most = key_count(threshold, miss)
+    full = (F.size("x.keys") == most) & (F.size("y.keys") == most)
     condition = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.doc_id") < F.col("y.doc_id"))
         & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-9)
         & ((both - differing) / 2 >= need)
+        & (~full | (F.size(F.array_intersect("x.keys", "y.keys")) >= least_common(threshold, most)))
         & ~F.arrays_overlap(earlier("x"), earlier("y"))
     )
     return x.join(y, condition).select(
@@ -224,7 +239,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, miss
     if common:
         last = np.sort(np.array([r.key for r in common], np.int64).view(np.uint64))
         sets = settle(_one_per_set(signatures(docs, n, threshold, miss, last)))
-    near = verify(docs, settle(candidates(sets, threshold)), n, threshold)
+    near = verify(docs, settle(candidates(sets, threshold, miss)), n, threshold)
     copies = sets.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     return near.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard")).union(copies)
 
