@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan import errors as E
+from loomspan.session import settle
 
 POS = "__pos"
 _PY = {int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bool: T.BooleanType(), bytes: T.BinaryType()}
@@ -31,8 +32,9 @@ def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     if order:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # written once: a second run of the range sort could draw other bounds than those that were counted
     # monotonically_increasing_id is partition << 33 | row: its parts are what is needed
-    marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    marked = settle(df.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
     sizes = marked.groupBy("__part").agg((F.max("__id").bitwiseAND((1 << 33) - 1) + 1).alias("__n")).withColumn(
         "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
@@ -40,11 +42,26 @@ def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     return placed.withColumn(POS, F.col("__first") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__first")
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
 class Table:
-    """``df`` with positions; ``columns`` are those without the hidden one."""
+    """``df`` with positions; ``columns`` are those without the hidden one.
+
+    Filtering and grouping leave gaps between positions. Order alone is enough for most
+    operations, so the gaps are closed only when a position itself is asked for.
+    """
 
-    def __init__(self, df: DataFrame, *order: Column | str, numbered: bool = False):
-        self.df = df if numbered or POS in df.columns else number_rows(df, *order)
+    def __init__(self, df: DataFrame, *order: Column | str, numbered: bool = False, dense: bool = True):
+        self._raw = df if numbered or POS in df.columns else number_rows(df, *order)
+        self._is_dense = dense
+
+    @property
+    def df(self) -> DataFrame:
+        if not self._is_dense:
+            self._raw, self._is_dense = number_rows(self._raw.withColumnRenamed(POS, "__was"), "__was").drop("__was"), True
+        return self._raw
 
     # -- construction -------------------------------------------------------
 
@@ -83,28 +100,28 @@ class Table:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != POS]
+        return [c for c in self._raw.columns if c != POS]
 
     names = columns
 
     @property
     def types(self) -> list[str]:
-        return [t for c, t in self.df.dtypes if c != POS]
+        return [t for c, t in self._raw.dtypes if c != POS]
 
     @property
     def shape(self) -> tuple[int, int]:
         return len(self), len(self.columns)
 
     def __len__(self) -> int:
-        return self.df.count()
+        return self._raw.count()
 
     @property
     def empty(self) -> bool:
-        return self.df.isEmpty()
+        return self._raw.isEmpty()
 
     def ordered(self) -> DataFrame:
         """The rows in order, without positions."""
-        return self.df.orderBy(POS).select(*self.columns)
+        return self._raw.orderBy(POS).select(*self.columns)
 
     def rows(self) -> list[tuple]:
         return [tuple(r) for r in self.ordered().collect()]
@@ -122,9 +139,6 @@ class Table:
             if n not in self.columns:
                 raise E.UnknownName(f"no column {n!r}")
 
-    def _like(self, df: DataFrame, *, renumber: bool = False) -> "Table":
-        return Table(number_rows(df.drop("__was"), "__was_pos").drop("__was_pos"), numbered=True) if renumber else Table(df, numbered=True)
-
     def _dense(self, df: DataFrame, *order: Column | str) -> "Table":
         """Renumbers what is left of the rows, in the order of ``order`` (default: their positions)."""
         order = order or (POS,)
@@ -144,7 +158,7 @@ class Table:
         if isinstance(value, Column):
             return c.eqNullSafe(value)
         same = c.eqNullSafe(F.lit(value))
-        return same & ~F.isnan(c) if dict(self.df.dtypes)[column] in ("double", "float") and value is not None else same
+        return same & ~F.isnan(c) if dict(self._raw.dtypes)[column] in ("double", "float") and value is not None else same
 
     def differs(self, column: str, value: Any) -> Column:
         return ~self.equals(column, value)
@@ -159,10 +173,10 @@ class Table:
         """Columns by name or position (negative counts from the end)."""
         chosen = [self.columns[n] if isinstance(n, int) else n for n in names]
         self._check(*chosen)
-        return Table(self.df.select(*dict.fromkeys(chosen), POS), numbered=True)
+        return Table(self._raw.select(*dict.fromkeys(chosen), POS), numbered=True, dense=self._is_dense)
 
     def where(self, condition: Column) -> "Table":
-        return self._dense(self.df.where(condition))
+        return Table(self._raw.where(condition), numbered=True, dense=False)
 
     def row(self, i: int) -> tuple:
         """One row by position; negative counts from the end."""
@@ -305,10 +319,9 @@ class Table:
         self._check(*columns)
         rest = [c for c in self.columns if c not in columns]
         grouped = self.df.groupBy(*rest).agg(F.min(POS).alias("__first"), F.array_sort(F.collect_list(F.struct(POS, *columns))).alias("__all"))
-        lists = [F.transform("__all", lambda x, c=c: x[c]).alias(c) for c in columns]
+        lists = [F.transform("__all", _field(c)).alias(c) for c in columns]
         wide = grouped.select(*rest, *lists, F.col("__first").alias(POS))
-        t = self._dense(wide)
-        return Table(t.df.select(*self.columns, POS), numbered=True)
+        return Table(wide.select(*self.columns, POS), numbered=True, dense=False)
 
     def unstack(self, columns: Sequence[str]) -> "Table":
         """Explodes parallel lists; a null or empty list keeps one row of nulls; unequal lengths are an error."""
@@ -336,20 +349,20 @@ class Table:
         left = self.df.join(last.withColumn("__is", F.lit(True)), F.col(POS) == F.col("__last"), "left")
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in shared], F.col("__is"))
         joined = left.join(lists, same, "left")
-        values = [F.coalesce(F.transform("__all", lambda x, c=c: x[c]), F.array()).alias(c) for c in own]
+        values = [F.coalesce(F.transform("__all", _field(c)), F.array()).alias(c) for c in own]
         return Table(joined.select(*self.columns, *values, POS), numbered=True)
 
     # -- whole tables -------------------------------------------------------
 
     def unique(self) -> "Table":
-        """Distinct rows in the order of their first occurrence (partial aggregation, then a sort)."""
-        return self._dense(self.df.groupBy(*self.columns).agg(F.min(POS).alias(POS)))
+        """Distinct rows in the order of their first occurrence (one partial aggregation)."""
+        return Table(self._raw.groupBy(*self.columns).agg(F.min(POS).alias(POS)).select(*self.columns, POS), numbered=True, dense=False)
 
     def sort(self, *keys: str | Column, key: Callable[..., Any] | None = None, key_type: str = "double") -> "Table":
         """Stable; by whole rows if no key is given; nulls last. A Python callable over rows runs as an Arrow-batched function."""
         if key is not None:
             f = F.udf(lambda r: key(tuple(r)), key_type, useArrow=True)
-            return self._dense(self.df.withColumn("__key", f(F.struct(*self.columns))), F.col("__key").asc_nulls_last(), POS)._without("__key")
+            return self._dense(self.df.withColumn("__key", f(F.struct(*self.columns))), F.col("__key").isNull(), "__key", POS)._without("__key")
         by = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in (keys or self.columns)]
         pos = [F.col(k) if isinstance(k, str) else k for k in (keys or self.columns)]
         if all(isinstance(k, str) for k in (keys or self.columns)):
