@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm._sample import smallest
 from loomspan.llm._text import batches
 
 #: Labelled pages that are fitted at most (the classifier's sample bound).
@@ -213,8 +214,7 @@ def fit_pages(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     """A model of at most ``fit_pages`` labelled pages, the first by a hash of the id."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
     labelled = rows.where("html is not null").where(" or ".join(f"lower(html) like '%<{t}%'" for t in LABELS))
-    sample = labelled.orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id", F.md5("html")).limit(fit_pages).collect()
-    return Model([r.html for r in sample])
+    return Model([r.html for r in smallest(labelled, fit_pages, "page_id", SEED, F.md5("html"))])
 
 
 def extract_content(pages: DataFrame, model: Model | None = None) -> DataFrame:
