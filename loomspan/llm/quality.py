@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm._sample import smallest
 from loomspan.llm._text import MULTIPLIER, SPACE, batches, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
 from loomspan.session import settle
 
@@ -163,11 +164,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """
     stats = settle(rule_statistics(docs))
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit(SEED))
     labelled = stats.join(marks, "doc_id")
     sample: list = []
     for rows in (labelled.where("not blank"), stats.where("not blank")):
-        sample = rows.orderBy(order, "doc_id", "stats").limit(fit_rows).select("stats").collect()
+        sample = smallest(rows.select("doc_id", "stats"), fit_rows, "doc_id", SEED, "stats")
         if len(sample) >= 2:
             break
     forest = Forest(np.array([r.stats for r in sample], np.float32)) if len(sample) >= 2 else None
