@@ -76,13 +76,14 @@ def distinct_ngrams(df: DataFrame, tokens: str, most: int = 3) -> DataFrame:
 def find_sequence(df: DataFrame, tokens: str, wanted: Sequence) -> DataFrame:
     """The rows whose tokens have ``wanted`` as a contiguous run, with (start, end) of its first place, end exclusive.
 
-    Rows without all wanted tokens are dropped before any position is looked at.
+    Tokens are integers or texts without the character U+0001.
     """
-    k = len(wanted)
-    t, target = F.col(tokens), F.array(*[F.lit(x) for x in wanted])
-    some = df.where((F.size(t) >= k) & reduce(lambda a, b: a & b, [F.array_contains(t, x) for x in dict.fromkeys(wanted)], F.lit(True)))
-    starts = F.filter(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: (F.get(t, i - 1) == wanted[0]) & (F.slice(t, i, k) == target))
-    return some.withColumn("start", F.get(starts, F.lit(0)) - 1).where("start is not null").withColumn("end", F.col("start") + k)
+    k, sep = len(wanted), "\x01"
+    joined = F.concat(F.lit(sep), F.array_join(F.col(tokens).cast("array<string>"), sep), F.lit(sep))
+    # a single search in the joined tokens; the place is the number of separators before it
+    at = F.instr(joined, sep + sep.join(map(str, wanted)) + sep)
+    found = df.withColumn("start", F.when(at > 0, F.regexp_count(F.substr(joined, F.lit(1), at), F.lit(sep)) - 1))
+    return found.where("start is not null").withColumn("end", F.col("start") + k)
 
 
 def filters(df: DataFrame, include: Mapping[str, Sequence[str]] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None) -> Column:
@@ -123,7 +124,7 @@ def search(docs: DataFrame, windows_: DataFrame, doc: str, vector: str, spec: Ma
     if spec.get("embeddings"):
         target = F.array(*[F.lit(float(x)) for x in spec["embeddings"][0]])
         near = windows_.join(kept.select(doc), doc).select(doc, squared_distance(F.col(vector), target).alias("d")).groupBy(doc).agg(F.min("d").alias("d"))
-        return near.orderBy("d", doc).limit(top_k).select(doc, (-F.sqrt("d")).alias("score"))
+        return near.orderBy("d", doc).limit(top_k).select(doc, (F.lit(0.0) - F.sqrt("d")).alias("score"))
     if spec.get("token_sequence"):
         found = find_sequence(kept, "tokens", spec["token_sequence"])
         return found.orderBy(doc).limit(top_k).select(doc, F.lit(0.0).alias("score"), "start", "end")

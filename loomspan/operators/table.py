@@ -93,8 +93,8 @@ class Table:
                         raise E.BadValue(f"{v!r} isn't of type {kinds[i].__name__}") from e
         fields = []
         for i, (n, k) in enumerate(zip(names, kinds)):
-            sample = next((r[i] for r in rows if r[i] is not None), None)
-            fields.append(T.StructField(n, _PY.get(k) or (T._infer_type(sample) if sample is not None else T.StringType())))
+            sample = next((r[i] for r in rows if r[i] not in (None, [], ())), None)
+            fields.append(T.StructField(n, _PY.get(k) or (T._infer_type(sample) if sample is not None else T.ArrayType(T.StringType()) if k in (list, tuple) else T.StringType())))
         fields.append(T.StructField(POS, T.LongType()))
         return cls(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType(fields)), numbered=True)
 
