@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of a kernel holds; bounds memory, never the input.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
