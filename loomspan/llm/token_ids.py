@@ -34,7 +34,7 @@ HEAD = 7
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id bigint, n_tokens bigint, block_starts array<int>, payload binary"
 #: Tokens packed at a time.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 _encoders: dict[str, object] = {}
 
