@@ -49,6 +49,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated run of several sentences, to its last sentence."""
+    return spans.substring_dedup(table(spark, sf_dir, "documents"), ends=True)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,5 +62,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op7_extract_content, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql(), "op8_jaccard_join": f"with {jaccard.jaccard_sql()} select doc_a, doc_b, jaccard from pairs", "op9_substring_dedup": spans.dedup_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op7_extract_content, op8_jaccard_join, op9_substring_dedup, op9_substring_dedup_runs, op10_quality_rules, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql(), "op8_jaccard_join": f"with {jaccard.jaccard_sql()} select doc_a, doc_b, jaccard from pairs", "op9_substring_dedup": spans.dedup_sql(), "op9_substring_dedup_runs": spans.dedup_sql(ends=True)}

@@ -2,7 +2,9 @@
 
 A sentence ends with a word whose last character is ``.``, ``!`` or ``?``, at a line
 break, or with the text. From every sentence starts one span: the shortest run of at
-least two sentences with at least twenty words. All spans of all documents are joined
+least two sentences with at least twenty words. With ``ends`` a second span, the shortest
+such run, ends at every sentence: a repeated run of several sentences is covered by the
+spans that start or end in it, so that its last sentences go too. All spans of all documents are joined
 by their hash; the first (by id, then by place) stays, and every sentence that any
 other one covers is removed. The words of what stays are joined by single blanks and
 its sentences by line breaks; a document without a repeated span is left as it is.
@@ -48,7 +50,7 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, first, past, np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum(per)])))
 
 
-def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def spans(buf: np.ndarray, off: np.ndarray, ends: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, document, first sentence, sentences) of every span."""
     start, end, first, past, per = sentences(buf, off)
     if not len(first):
@@ -62,14 +64,22 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     i = np.arange(len(first))
     j = np.maximum(i + SENTENCES - 1, np.searchsorted(past, first + WORDS))
     ok = j < limit
-    i, j, doc, place = i[ok], j[ok], doc[ok], place[ok]
+    if ends:
+        last = i.copy()
+        back = np.minimum(last - SENTENCES + 1, np.searchsorted(first, past - WORDS, side="right") - 1)
+        # a span that starts and ends where one from its start does is given once
+        fits = (back >= limit - per[doc]) & (j[np.maximum(back, 0)] != last)
+        i, j = np.concatenate([i[ok], back[fits]]), np.concatenate([j[ok], last[fits]])
+        doc, place = doc[i], place[i]
+    else:
+        i, j, doc, place = i[ok], j[ok], doc[ok], place[ok]
     a, b = first[i], past[j]
     with np.errstate(over="ignore"):
         code = mix((whole[b] - whole[a]) * powers(INVERSE, len(whole))[a] + (b - a).astype(np.uint64))
     return code.view(np.int64), doc, place, j - i + 1
 
 
-def span_table(docs: DataFrame) -> DataFrame:
+def span_table(docs: DataFrame, ends: bool = False) -> DataFrame:
     """(span, doc_id, place, n) of every span of every row with an id."""
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,21 +87,21 @@ def span_table(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = text_buffer(batch.column(1))
             for i, j in slices(off):
-                code, doc, place, n = spans(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                code, doc, place, n = spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], ends)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ids[i:j][doc]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], names=["span", "doc_id", "place", "n"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     return narrow.mapInArrow(find, "span bigint, doc_id bigint, place int, n int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, ends: bool = False) -> DataFrame:
     """(doc_id, cuts): the spans (place, n) of each document that are not the first of their kind.
 
-    One shuffle by the span's hash (28 bytes a sentence); a rank needs no more memory for
+    One shuffle by the span's hash (28 bytes a sentence, up to twice that with ``ends``); a rank needs no more memory for
     a span that millions of documents share, as the window spills.
     """
     order = Window.partitionBy("span").orderBy("doc_id", "place")
-    later = span_table(docs).withColumn("nth", F.rank().over(order)).where("nth > 1")
+    later = span_table(docs, ends).withColumn("nth", F.rank().over(order)).where("nth > 1")
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("cuts"))
 
 
@@ -116,23 +126,25 @@ def _cut(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, ends: bool = False) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of the documents that lose sentences; all others stay as they are."""
-    cut = repeated(docs)
+    cut = repeated(docs, ends)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cut, "doc_id")
     return rows.select("doc_id", _cut("text", "cuts").alias("r")).select("doc_id", "r.n_sentences", "r.n_removed", "r.text")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, ends: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with repeated spans removed from their texts."""
-    cut = repeated(docs).select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts"))
+    cut = repeated(docs, ends).select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts"))
     rows = docs.join(cut, docs["doc_id"] == cut["__cut_id"], "left")
     clean = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(_cut("text", "__cuts")["text"])
     return rows.select(*[clean.alias("text") if c == "text" else rows[c] for c in docs.columns])
 
 
-def dedup_sql() -> str:
+def dedup_sql(ends: bool = False) -> str:
     """The same in DuckDB, by joining the spans' texts."""
+    back = f"""
+  union select b.doc_id, max(a.place) as place, b.place as till from sent a join sent b on a.doc_id = b.doc_id and b.place >= a.place + {SENTENCES - 1} and b.upto - a.upto + a.n >= {WORDS} group by b.doc_id, b.place""" if ends else ""
     blank = r"[ \t\r\x0B\x0C]"
     return f"""
 with lines as (
@@ -144,7 +156,7 @@ with lines as (
          sum(len(ws)) over (partition by doc_id order by k) as upto
   from worded where len(ws) > 0
 ), reach as (
-  select a.doc_id, a.place, min(b.place) as till from sent a join sent b on a.doc_id = b.doc_id and b.place >= a.place + {SENTENCES - 1} and b.upto - a.upto + a.n >= {WORDS} group by all
+  select a.doc_id, a.place, min(b.place) as till from sent a join sent b on a.doc_id = b.doc_id and b.place >= a.place + {SENTENCES - 1} and b.upto - a.upto + a.n >= {WORDS} group by all{back}
 ), span as (
   select r.doc_id, r.place, r.till, string_agg(s.s, ' ' order by s.place) as body from reach r join sent s on s.doc_id = r.doc_id and s.place between r.place and r.till group by all
 ), later as (select doc_id, place, till from (select *, rank() over (partition by body order by doc_id, place) as nth from span) where nth > 1
