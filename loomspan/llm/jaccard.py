@@ -22,7 +22,8 @@ the text and sent to each tile (split into blocks if large), where overlaps are
 
 Defined results
   null, empty or blank text: no n-grams, no partner; null doc_id: left out of all pairs;
-  rows repeated with id and text: one document; the same id with another text: no pair with itself;
+  rows repeated with id and text: one document; the same id with another text: no pair with itself,
+  each text's set is joined on its own (a set is known by its id and ``hi``, half of its own hash);
   ties: none, the join has no order; long texts: all their n-grams;
   an empty table: no rows; extra columns: ignored by the join, kept by ``keep_one``.
 """
@@ -94,6 +95,12 @@ def ngram_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray
     return gram[new], np.bincount(owner[new], minlength=len(off) - 1)
 
 
+def set_hash(gram: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A 64-bit hash of each set, the same in any order."""
+    with np.errstate(over="ignore"):
+        return segment_sum(mix(gram ^ salt).view(np.int64), size)
+
+
 def signatures(docs: DataFrame, n: int, threshold: float, miss: float, hot: np.ndarray) -> DataFrame:
     """(doc_id, size, hi, lo, keys, b0 .. b7) of every document with an n-gram."""
     names = ["doc_id", "size", "hi", "lo", "keys", *[f"b{k}" for k in range(BITS // 64)]]
@@ -107,9 +114,7 @@ def signatures(docs: DataFrame, n: int, threshold: float, miss: float, hot: np.n
             for i, j in slices(off):
                 gram, size = ngram_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 docs_ = j - i
-                with np.errstate(over="ignore"):
-                    lo = segment_sum(mix(gram).view(np.int64), size)
-                    hi = segment_sum(mix(gram ^ _FACTORS[0]).view(np.int64), size)
+                hi, lo = set_hash(gram, size, _FACTORS[0]), set_hash(gram, size)
                 owner, rank = ragged(size)
                 grid = np.zeros(docs_ * BITS, bool)
                 grid[owner * BITS + (gram >> np.uint64(17) & np.uint64(BITS - 1)).astype(np.int64)] = True
@@ -138,15 +143,15 @@ def _one_per_set(rows: DataFrame) -> DataFrame:
 
 
 def _keys_of(sets: DataFrame) -> DataFrame:
-    return sets.where("head").select("doc_id", F.explode("keys").alias("key"))
+    return sets.where("head").select("doc_id", "hi", F.explode("keys").alias("key"))
 
 
 def candidates(sets: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
-    """(tile, block_a, block_b, a, b, size_a, size_b) of distinct sets that pass bands and bitmaps, each pair once."""
+    """(tile, block_a, block_b, a, hi_a, b, hi_b, size_a, size_b) of distinct sets that pass bands and bitmaps, each pair once."""
     heads = sets.where("head")
     met = _keys_of(sets).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
     bits = [f"b{k}" for k in range(BITS // 64)]
-    rows = met.join(heads.select("doc_id", "size", "keys", *bits), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("met") / TILE_BLOCK)))
+    rows = met.join(heads.select("doc_id", "hi", "size", "keys", *bits), ["doc_id", "hi"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("met") / TILE_BLOCK)))
     rows = rows.withColumn("place", F.array_position("keys", F.col("key")).cast("int"))
     x, y = rows.alias("x"), rows.alias("y")
     differing = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
@@ -165,7 +170,7 @@ def candidates(sets: DataFrame, threshold: float, miss: float = MISS) -> DataFra
     )
     return x.join(y, condition).select(
         F.col("x.key").alias("tile"), F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b"),
-        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"),
+        F.col("x.doc_id").alias("a"), F.col("x.hi").alias("hi_a"), F.col("y.doc_id").alias("b"), F.col("y.hi").alias("hi_b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"),
     )
 
 
@@ -184,21 +189,22 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataF
             for i, j in slices(off):
                 gram, size = ngram_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(gram.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets, batch.column(2).slice(i, j - i)], names=["doc_id", "grams", "tiles"])
+                hi = pa.array(set_hash(gram, size, _FACTORS[0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), hi, sets, batch.column(2).slice(i, j - i)], names=["doc_id", "hi", "grams", "tiles"])
 
-    schema = "doc_id bigint, grams array<bigint>, tiles array<struct<tile: bigint, block_a: bigint, block_b: bigint>>"
-    sent = wanted.mapInArrow(arrays, schema).select(F.explode("tiles").alias("t"), "doc_id", "grams").select("t.*", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    asked = pairs.select(*tile, "a", "b", F.lit(None).cast("array<bigint>").alias("grams"))
+    schema = "doc_id bigint, hi bigint, grams array<bigint>, tiles array<struct<tile: bigint, block_a: bigint, block_b: bigint>>"
+    sent = wanted.mapInArrow(arrays, schema).select(F.explode("tiles").alias("t"), "doc_id", "hi", "grams").select("t.*", F.col("doc_id").alias("a"), F.col("hi").alias("hi_a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("hi_b"), "grams")
+    asked = pairs.select(*tile, "a", "hi_a", "b", "hi_b", F.lit(None).cast("array<bigint>").alias("grams"))
     # arrays (b is null) come before the pairs of their tile
-    rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a")
+    rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a", "hi_a")
 
     def overlap(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, sets = None, {}
         for batch in batches(source):
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            a, b, grams = batch.column(3).to_numpy(), batch.column(4), batch.column(5)
+            a, hi, b, grams = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5), batch.column(7)
             is_pair = np.array(b.is_valid())
-            other = b.fill_null(0).to_numpy()
+            other, other_hi = b.fill_null(0).to_numpy(), batch.column(6).fill_null(0).to_numpy()
             flat, edge = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), grams.offsets.to_numpy()
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             i, rows_ = 0, batch.num_rows
@@ -206,14 +212,14 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataF
                 if keys[i] != here:
                     here, sets = keys[i], {}
                 if not is_pair[i]:
-                    sets[int(a[i])] = flat[edge[i] : edge[i + 1]].copy()
+                    sets[int(a[i]), int(hi[i])] = flat[edge[i] : edge[i + 1]].copy()
                     i += 1
                     continue
                 j = i
-                while j < rows_ and is_pair[j] and keys[j] == here and a[j] == a[i]:
+                while j < rows_ and is_pair[j] and keys[j] == here and a[j] == a[i] and hi[j] == hi[i]:
                     j += 1
-                mine = sets[int(a[i])]
-                theirs = [sets[int(x)] for x in other[i:j]]
+                mine = sets[int(a[i]), int(hi[i])]
+                theirs = [sets[x] for x in zip(other[i:j].tolist(), other_hi[i:j].tolist())]
                 size = np.array([len(t) for t in theirs])
                 merged = np.concatenate(theirs)
                 slot = np.minimum(np.searchsorted(mine, merged), len(mine) - 1)
