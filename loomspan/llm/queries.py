@@ -37,6 +37,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With classes for keys of one case and of 16 characters on."""
+    return secrets.secret_scan(table(spark, sf_dir, "documents"), classes=secrets.KEY_CLASSES)
+
+
 def op7_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_content(table(spark, sf_dir, "pages"))
 
@@ -62,5 +67,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op7_extract_content, op8_jaccard_join, op9_substring_dedup, op9_substring_dedup_runs, op10_quality_rules, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op6_secret_scan_keys, op7_extract_content, op8_jaccard_join, op9_substring_dedup, op9_substring_dedup_runs, op10_quality_rules, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql(), "op8_jaccard_join": f"with {jaccard.jaccard_sql()} select doc_a, doc_b, jaccard from pairs", "op9_substring_dedup": spans.dedup_sql(), "op9_substring_dedup_runs": spans.dedup_sql(ends=True)}

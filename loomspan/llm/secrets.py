@@ -34,6 +34,13 @@ CLASSES = {
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.8),
     "hex": ("0123456789ABCDEFabcdef", 3.0),
 }
+#: The same with classes for keys of fewer characters or one case: (members, least entropy, window). The least
+#: is under the 0.1 % quantile of windows of random characters out of the class (A-Z and 2-7 for one case).
+KEY_CLASSES: dict[str, tuple] = CLASSES | {
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 2.89, 16),
+    "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 2.89, 16),
+    "alphanumeric": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.15, 16),
+}
 #: Candidates that one of these matches are placeholders or identifiers, not secrets.
 ALLOW = (
     "(?i)example|placeholder|dummy|changeme|your[_-]?(key|token)",
@@ -77,13 +84,14 @@ def best_window(text: str, members: str, window: int = WINDOW) -> tuple[float, i
     return best
 
 
-def secret_scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def secret_scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """One row per candidate and class that reaches the class's threshold; a map without a shuffle.
 
     ``char_start`` is the 0-based character position of the candidate in the text,
-    ``window_start`` that of its best window within the candidate.
+    ``window_start`` that of its best window within the candidate. A class without a window has ``window``.
     """
-    classes = classes or CLASSES
+    classes = {name: (members, least, *(own or [window])) for name, (members, least, *own) in (classes or CLASSES).items()}
+    shortest = min(w for _, _, w in classes.values())
 
     def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suppress = [re.compile(x) for x in allow]
@@ -101,14 +109,14 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[
                 cut = cut[(cut > 0) & (cut < len(part))]
                 cut = np.unique(cut[inside[cut].astype(bool) & inside[cut + 1].astype(bool)])
                 start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
-                keep = end - start >= window
+                keep = end - start >= shortest
                 for s, e in zip(start[keep].tolist(), end[keep].tolist()):
                     d = int(np.searchsorted(edge, s, side="right")) - 1
                     candidate = part[s:e].tobytes().decode()
                     if any(x.search(candidate) for x in suppress):
                         continue
-                    for name, (members, least) in classes.items():
-                        found = best_window(candidate, members, window)
+                    for name, (members, least, width) in classes.items():
+                        found = best_window(candidate, members, width)
                         if found and found[0] >= least:
                             at = int(np.count_nonzero((part[edge[d] : s] & 0xC0) != 0x80))
                             rows.append((ids[i + d].as_py(), at, e - s, name, found[0], found[1]))
