@@ -222,3 +222,46 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str, point
     pairs = q.select("qb", "pb", "side", "id", "v").union(p.select("qb", "pb", "side", "id", "v")).groupBy("qb", "pb").applyInPandas(best, "query bigint, point bigint, distance double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "point")))
     return ranked.where(F.col("rank") <= k)
+
+
+def probe_join(queries: DataFrame, rows: DataFrame, k: int, query_id: str, point_id: str, vector: str = "vector", block_rows: int = 4096) -> DataFrame:
+    """(query, point, node, distance, rank), exact: the k nearest of a tree's rows for every query, ties by id.
+
+    Blocks of queries meet blocks of whole leaves. A leaf is passed over for the queries whose k-th distance
+    so far is under their distance to its centroid less its radius.
+    """
+    marks, filled = [], 0
+    for r in rows.groupBy("node").count().orderBy("node").collect():  # at most fanout ** max_depth leaves
+        full = filled + r["count"] > block_rows and filled > 0
+        marks.append((r.node, (marks[-1][1] if marks else 0) + full))
+        filled = r["count"] + filled * (not full)
+    n_p, n_q = (marks[-1][1] if marks else 0) + 1, max(1, -(-queries.count() // block_rows))
+    blocks = F.broadcast(rows.sparkSession.createDataFrame(marks, "node string, pb int"))
+    q = queries.select(F.lit("").alias("node"), F.col(query_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(query_id), F.lit(n_q)).alias("qb")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)))).withColumn("side", F.lit(0))
+    p = rows.join(blocks, "node").select("node", F.col(point_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), "pb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("side", F.lit(1))
+    names = ["qb", "pb", "side", "node", "id", "v"]
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part[part.side == 0], part[part.side == 1]
+        out = []
+        if len(a) and len(b):
+            x = np.stack(a.v.to_numpy())
+            x2, top = (x * x).sum(1), np.full((len(x), k), np.inf)
+            for node, own in b.groupby("node"):
+                y, ids = np.stack(own.v.to_numpy()), own.id.to_numpy()
+                y2, c = (y * y).sum(1), y.mean(0)
+                slack = 1e-9 * (1 + x2 + y2.max())
+                radius = np.sqrt(((y - c) ** 2).sum(1).max())
+                near = np.flatnonzero(np.sqrt(((x - c) ** 2).sum(1)) - radius <= np.sqrt(top.max(1) + slack) + 1e-9)
+                rough = np.maximum(x2[near, None] - 2 * x[near] @ y.T + y2[None], 0)
+                top[near] = np.partition(np.concatenate([top[near], rough], 1), k - 1, axis=1)[:, :k]
+                at, to = np.nonzero(rough <= (top[near].max(1) + slack[near])[:, None])
+                at = near[at]
+                out.append(pd.DataFrame({"query": a.id.to_numpy()[at], "point": ids[to], "node": node, "distance": np.sqrt(((x[at] - y[to]) ** 2).sum(1))}))
+        if not out:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "node": pd.Series(dtype="str"), "distance": pd.Series(dtype="float64")})
+        return pd.concat(out).sort_values(["query", "distance", "point"]).groupby("query").head(k)
+
+    pairs = q.select(names).union(p.select(names)).groupBy("qb", "pb").applyInPandas(best, "query bigint, point bigint, node string, distance double")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "point")))
+    return ranked.where(F.col("rank") <= k)
