@@ -265,3 +265,25 @@ def probe_join(queries: DataFrame, rows: DataFrame, k: int, query_id: str, point
     pairs = q.select(names).union(p.select(names)).groupBy("qb", "pb").applyInPandas(best, "query bigint, point bigint, node string, distance double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "point")))
     return ranked.where(F.col("rank") <= k)
+
+
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, query_id: str, point_id: str, vector: str = "vector", block_rows: int = 2048) -> DataFrame:
+    """(query, point, distance) at distance at most ``radius``, exact, for both sides large: one matrix product a pair of blocks."""
+    n_q = max(1, -(-queries.count() // block_rows))
+    n_p = max(1, -(-points.count() // block_rows))
+    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(query_id), F.lit(n_q)).alias("qb")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)))).withColumn("side", F.lit(0))
+    p = points.select(F.col(point_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(point_id), F.lit(n_p)).alias("pb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("side", F.lit(1))
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part[part.side == 0], part[part.side == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        x2, y2 = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+        at, to = np.nonzero(x2 - 2 * x @ y.T + y2 <= radius * radius + 1e-9 * (1 + x2 + y2.max()))
+        exact = np.sqrt(((x[at] - y[to]) ** 2).sum(1))
+        good = exact <= radius
+        return pd.DataFrame({"query": a.id.to_numpy()[at[good]], "point": b.id.to_numpy()[to[good]], "distance": exact[good]})
+
+    names = ["qb", "pb", "side", "id", "v"]
+    return q.select(names).union(p.select(names)).groupBy("qb", "pb").applyInPandas(within, "query bigint, point bigint, distance double")

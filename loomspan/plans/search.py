@@ -36,6 +36,13 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.within_radius(e, e, 0.9, "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""select a.vec_id as query, b.vec_id as point, round(sqrt({_D}), 6) as distance from embeddings a, embeddings b where sqrt({_D}) <= 0.9""")
+def radius_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``radius_join`` over the whole table, within and across labels."""
+    e = _vectors(spark, sf_dir)
+    return N.radius_join(e, e, 0.9, "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 _DOT = "list_sum([x[1]::double * x[2]::double for x in list_zip(a.embedding, b.embedding)])"
 
 

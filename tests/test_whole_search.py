@@ -31,3 +31,16 @@ def test_probe_join_over_several_blocks(spark):
     got = {(r["query"], r["rank"]): r.point for r in N.probe_join(e, rows, 3, "vec_id", "vec_id", "embedding", block_rows=150).collect()}
     want = {(r["query"], r["rank"]): r.point for r in N.knn_join(e, e, 3, "vec_id", "vec_id", "embedding").collect()}
     assert got == want
+
+
+def test_radius_join_over_all_labels(spark):
+    from loomspan.operators import index as N
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    ids, x = vectors(spark)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    radius = float(np.quantile(d, 0.05))
+    at, to = np.nonzero(d <= radius)
+    got = {(r["query"], r.point) for r in N.radius_join(e, e, radius, "vec_id", "vec_id", "embedding", block_rows=150).collect()}
+    assert got == set(zip(ids[at].tolist(), ids[to].tolist())) and len(got) > len(ids)
+    assert {r["query"] for r in search.radius_join_all(spark, DATA).collect()} == set(ids.tolist())
