@@ -74,6 +74,15 @@ def nn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(e.select(F.col("vec_id").alias("point"), "label"), "point").select("query", F.col("label").alias("predicted"))
 
 
+@query(f"""select query, label as predicted from (select a.vec_id as query, b.label, row_number() over (partition by a.vec_id order by {_D}, b.vec_id) as rank from embeddings a, embeddings b where a.vec_id <> b.vec_id) where rank = 1""")
+def nn_predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's label from all other rows."""
+    e = _vectors(spark, sf_dir)
+    others = N.knn_join(e, e, 2, "vec_id", "vec_id", "embedding").where("query <> point")
+    near = others.groupBy("query").agg(F.min_by("point", "rank").alias("point"))
+    return near.join(e.select(F.col("vec_id").alias("point"), "label"), "point").select("query", F.col("label").alias("predicted"))
+
+
 @query(f"""select point, count(*) as n from (select b.vec_id as point, row_number() over (partition by a.vec_id order by {_D}, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 5 group by 1""")
 def neighbour_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_exact(spark, sf_dir).groupBy("point").agg(F.count(F.lit(1)).alias("n"))

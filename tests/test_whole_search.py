@@ -44,3 +44,7 @@ def test_radius_join_over_all_labels(spark):
     got = {(r["query"], r.point) for r in N.radius_join(e, e, radius, "vec_id", "vec_id", "embedding", block_rows=150).collect()}
     assert got == set(zip(ids[at].tolist(), ids[to].tolist())) and len(got) > len(ids)
     assert {r["query"] for r in search.radius_join_all(spark, DATA).collect()} == set(ids.tolist())
+
+
+def test_every_row_is_predicted(spark):
+    assert sorted(r["query"] for r in search.nn_predict_all(spark, DATA).collect()) == vectors(spark)[0].tolist()
