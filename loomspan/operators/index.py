@@ -287,3 +287,32 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, query_id:
 
     names = ["qb", "pb", "side", "id", "v"]
     return q.select(names).union(p.select(names)).groupBy("qb", "pb").applyInPandas(within, "query bigint, point bigint, distance double")
+
+
+def search_join(queries: DataFrame, windows: DataFrame, top_k: int, query_id: str, doc: str, vector: str = "vector", block_rows: int = 2048) -> DataFrame:
+    """(query, doc, distance, rank), exact: the ``top_k`` documents of every query by their best window, ties by document.
+
+    A pair of blocks gives its ``top_k`` documents a query; a document among the first is so in the block of its best window.
+    """
+    n_q = max(1, -(-queries.count() // block_rows))
+    n_p = max(1, -(-windows.count() // block_rows))
+    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(query_id), F.lit(n_q)).alias("qb")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)))).withColumn("side", F.lit(0))
+    p = windows.select(F.col(doc).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(vector), F.lit(n_p)).alias("pb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("side", F.lit(1))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part[part.side == 0], part[part.side == 1].sort_values("id", kind="stable")
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "doc": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        docs, first = np.unique(b.id.to_numpy(), return_index=True)
+        out = []
+        for i in range(len(x)):  # differences, not products: equal windows give equal distances
+            d = np.minimum.reduceat(((y - x[i]) ** 2).sum(1), first)
+            take = np.lexsort((docs, d))[:top_k]
+            out.append(pd.DataFrame({"query": a.id.iloc[i], "doc": docs[take], "distance": np.sqrt(d[take])}))
+        return pd.concat(out)
+
+    names = ["qb", "pb", "side", "id", "v"]
+    pairs = q.select(names).union(p.select(names)).groupBy("qb", "pb").applyInPandas(best, "query bigint, doc bigint, distance double")
+    ranked = pairs.groupBy("query", "doc").agg(F.min("distance").alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "doc")))
+    return ranked.where(F.col("rank") <= top_k)

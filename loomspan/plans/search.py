@@ -105,6 +105,19 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(docs, e, "doc", "embedding", spec).select("doc", F.round("score", 6).alias("score"))
 
 
+@query(f"""select query, point, round(distance, 6) as distance, rank from (select a.vec_id as query, b.vec_id as point, sqrt({_D}) as distance, row_number() over (partition by a.vec_id order by {_D}, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 10""")
+def rank_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return N.knn_join(e, e, 10, "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""select query, doc, round(0.0::double - sqrt(d), 6) as score, rank from (select *, row_number() over (partition by query order by d, doc) as rank from (select a.vec_id as query, b.label as doc, min({_D}) as d from embeddings a, embeddings b group by 1, 2)) where rank <= 3""")
+def search_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row a query over all labels, each with its own first three."""
+    e = _vectors(spark, sf_dir)
+    return N.search_join(e, e, 3, "vec_id", "label", "embedding").select("query", "doc", F.round(0 - F.col("distance"), 6).alias("score"), "rank")
+
+
 @query("select d.doc_id, d.lang, d.n_chars, l.quality from documents d join labels l using (doc_id) where d.lang in ('en', 'de') and l.quality between 1 and 1 and d.n_chars between 200 and 5000")
 def label_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")

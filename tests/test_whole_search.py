@@ -48,3 +48,9 @@ def test_radius_join_over_all_labels(spark):
 
 def test_every_row_is_predicted(spark):
     assert sorted(r["query"] for r in search.nn_predict_all(spark, DATA).collect()) == vectors(spark)[0].tolist()
+
+
+def test_every_row_searches(spark):
+    ids = set(vectors(spark)[0].tolist())
+    assert {r["query"] for r in search.search_documents_all(spark, DATA).collect()} == ids
+    assert {r["query"] for r in search.rank_top_k_all(spark, DATA).collect()} == ids
