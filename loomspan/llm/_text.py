@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of a kernel holds; bounds memory, never the input.
 SLICE_BYTES = 1 << 20
@@ -26,9 +28,25 @@ FOLDED_CODE[ord("A") : ord("Z") + 1] = BYTE_CODE[ord("a") : ord("z") + 1]
 FOLDED_CODE[list(b"\t\n\r\x0b\x0c")] = BYTE_CODE[32]
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Bytes of rows that Spark hands to a Python worker at a time; long texts come one by one.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _powers: dict[str, np.ndarray] = {}
 
 
+def bound_batches(rows: DataFrame) -> DataFrame:
+    """The same rows; their session hands them out in batches of BATCH_BYTES unless it was told another size than Spark's own."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows
+
+
+def narrow(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key as a bigint, text as a string and other columns as strings), whatever else ``docs`` has."""
+    return bound_batches(docs).select(F.col(key).cast("bigint").alias(key), *(F.col(c).cast("string").alias(c) for c in (text, *more)))
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     key = str(base)

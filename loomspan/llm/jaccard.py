@@ -1,74 +1,66 @@
 """Operator 8, n-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection.
 
 A document is its set of hashed word trigrams (a shorter text is one n-gram of all its
-words; ASCII case is folded). Documents with equal sets become one, the one with the
-smallest id, so that thousands of copies cost one row; what is joined are distinct sets.
-
-Tiles. Sets meet in a tile if they share one of their tile keys, the first n-grams by
-hash order: as many as the exact prefix bound asks for, or ``KEYS`` if that is fewer.
-The first n-gram of the union of two sets lies in both with a chance of their
-similarity, so a pair at the threshold shares none of its first KEYS with a chance of
-(1 - threshold) ** KEYS, under ``MISS`` (1e-9): recall is 1 for all that can be
-measured. N-grams that more than ``HOT`` documents have as a key (licence lines) are
-ordered last, and a set with over a fifth of such n-grams takes the exact prefix.
-
-Bands and signatures. Within a tile two sets are compared if their sizes are within the
-threshold of each other (a band of sizes) and if half of (sizes - differing bits of
-their 512-bit signatures), an upper bound of the overlap, reaches what the threshold
-needs. A pair is taken up in the tile of the first key that it shares, once.
-
-Verification. The sorted arrays of the documents in surviving pairs are made again from
-the text and sent to each tile (split into blocks if large), where overlaps are counted.
+words; ASCII case is folded). Documents with equal sets become one, so that thousands of
+copies cost one row; what is joined are distinct sets, each known by a hash of its own.
+
+Tiles. Two sets whose similarity reaches the threshold share an n-gram of their prefixes:
+the first ``size - ceil(threshold * size) + 1`` n-grams in any one order of all n-grams.
+A tile is all sets with the same n-gram in their prefix. The order puts rare n-grams
+first, so that tiles are small: n-grams that recur within a few million others are listed
+with their counts, the ``LISTED`` commonest ones go last, by count, all others first, by
+hash. Which ones are listed changes the cost, never the pairs. A tile of over ``TILE``
+sets is split into blocks, and each two blocks meet in a tile of their own.
+
+Bands. The sets of a tile are sorted by size, and each meets those of its band: no larger
+than its own size over the threshold. A pair that is known to meet in an earlier tile
+(two prefix n-grams travel with each set) is left to that one; what is left is made unique.
+
+Signatures and verification. The sorted arrays of the sets in pairs are made again from
+the text and sent to the pair's tile (in blocks of about ``BLOCK_GRAMS``). Half of (sizes
+less differing bits of their 512-bit signatures) is an upper bound of the overlap; pairs
+whose bound reaches what the threshold needs are intersected exactly. Each tile answers
+with one row a set (its partners counted, one edge to its group), never with its pairs.
 
 Defined results
-  null, empty or blank text: no n-grams, no partner; null doc_id: left out of all pairs;
-  rows repeated with id and text: one document; the same id with another text: no pair with itself,
-  each text's set is joined on its own (a set is known by its id and ``hi``, half of its own hash);
-  ties: none, the join has no order; long texts: all their n-grams;
-  an empty table: no rows; extra columns: ignored by the join, kept by ``keep_one``.
+  null, empty or blank text: no n-grams, no partner; null doc_id: left out;
+  rows repeated with id and text: one document; the same id with another text: each text's
+  set is joined on its own, and the document is in one class with the partners of both;
+  ties: none, the join has no order; long texts: all their n-grams; a document without
+  partner: no row; an empty table: no rows; extra columns: ignored by the join, kept by
+  ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._text import FOLDED_CODE, batches, mix, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
+from loomspan.llm._text import FOLDED_CODE, batches, mix, narrow, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
 from loomspan.session import settle
 
 N = 3
 THRESHOLD = 0.6
-MISS = 1e-9
-#: Chance that a pair at the threshold shares fewer keys than are asked for.
-MISS_SHARED = 1e-6
-HOT = 4096
-#: Hot n-grams that are ordered last at most; any choice gives the same pairs.
-HOT_MOST = 1 << 20
+#: N-grams that are ordered by their count; 16 bytes each reach every executor.
+LISTED = 1 << 18
+#: N-grams that are counted together before the shuffle.
+COUNT_AT_ONCE = 1 << 21
+#: Sets of one tile; a tile of more is split into blocks.
+TILE = 1 << 14
+#: N-grams of a tile's sets in one block of the verification.
+BLOCK_GRAMS = 1 << 20
+#: Prefix n-grams that travel with a set, to tell whether a pair meets in an earlier tile.
+PROOFS = 2
 BITS = 512
 #: Rows of ids that may be broadcast; a larger set is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Documents of a tile in one block.
-TILE_BLOCK = 2048
+BROADCAST_ROWS = 500_000
+_PAIRS_AT_ONCE = 1 << 18
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
-
-
-def key_count(threshold: float, miss: float = MISS) -> int:
-    return max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))
-
-
-def least_common(threshold: float, keys: int, miss: float = MISS_SHARED) -> int:
-    """Keys that two sets with ``keys`` keys each share at least, but for a chance of ``miss``."""
-    below = 0.0
-    for c in range(keys + 1):
-        below += math.comb(keys, c) * threshold**c * (1 - threshold) ** (keys - c)
-        if below > miss:
-            return max(c, 1)
-    return 1
+_NEVER = np.uint64((1 << 64) - 1)
 
 
 def ngram_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -101,198 +93,354 @@ def set_hash(gram: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0))
         return segment_sum(mix(gram ^ salt).view(np.int64), size)
 
 
-def signatures(docs: DataFrame, n: int, threshold: float, miss: float, hot: np.ndarray) -> DataFrame:
-    """(doc_id, size, hi, lo, keys, b0 .. b7) of every document with an n-gram."""
-    names = ["doc_id", "size", "hi", "lo", "keys", *[f"b{k}" for k in range(BITS // 64)]]
-    most = key_count(threshold, miss)
-    shared = docs.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
+def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
+    """N-grams of the exact prefix: what a set of ``size`` can lack in common with a similar one, and one more."""
+    return np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+
+
+def signatures(gram: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS bits (as 64-bit words) per set: a bit for each n-gram's hash."""
+    owner = ragged(size)[0]
+    grid = np.zeros(len(size) * BITS, bool)
+    grid[owner * BITS + (gram >> np.uint64(17) & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(grid.reshape(len(size), BITS), axis=1, bitorder="little").view("<u8")
+
+
+def _grams(source: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, row past the last, n-grams, set sizes) of slices of the batches; text is column 1."""
+    for batch in batches(source):
+        buf, off = text_buffer(batch.column(1))
+        for i, j in slices(off):
+            yield batch, i, j, *ngram_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
+
+
+def set_table(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, hi, lo, size) of every row with an id and an n-gram: two hashes of its set and the set's size."""
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value if shared else None
+        for batch, i, j, gram, size in _grams(source, n):
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_hash(gram, size, _FACTORS[0])), pa.array(set_hash(gram, size)), pa.array(size)], names=["doc_id", "hi", "lo", "size"])
+            yield out.filter(pa.array(size > 0))
+
+    return narrow(docs).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, hi bigint, lo bigint, size bigint")
+
+
+def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COUNT_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram ascending, its count) of the commonest n-grams, ``most`` of them at most.
+
+    All documents are counted, ``at_once`` n-grams at a time; what occurs once in such
+    a part isn't sent on, so a count is short by no more than the number of parts.
+    """
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def tally() -> pa.RecordBatch:
+            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(gram[times > 1].view(np.int64)), pa.array(times[times > 1])], names=["gram", "n"])
+
+        for _, _, _, gram, _ in _grams(source, n):
+            held.append(gram)
+            if sum(map(len, held)) >= at_once:
+                yield tally()
+        if held:
+            yield tally()
+
+    counts = settle(narrow(docs).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    # counts by eighths of a doubling: the least level that leaves ``most`` n-grams or fewer
+    level = F.floor(F.log2("n") * 8).cast("int")
+    seen, least = 0, None
+    for at, k in sorted((tuple(r) for r in counts.groupBy(level).count().collect()), reverse=True):
+        seen += k
+        if seen > most:
+            break
+        least = at
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    table = counts.where(level >= least).toArrow()
+    gram, times = (np.asarray(table[c].to_numpy()) for c in ("gram", "n"))
+    gram = gram.view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], times[order]
+
+
+def prefixes(gram: np.ndarray, size: np.ndarray, threshold: float, listed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, n-gram, listed count or 0) of every set's prefix, n-grams ascending within a set."""
+    common, times = listed
+    count = np.zeros(len(gram), np.int64)
+    if len(common):
+        slot = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+        count = np.where(common[slot] == gram, times[slot], 0)
+    owner, rank = ragged(size)
+    order = np.lexsort((count, owner))  # stable: by hash within a count
+    keep = np.zeros(len(gram), bool)
+    keep[order[rank < prefix_size(size, threshold)[owner]]] = True
+    return owner[keep], gram[keep], count[keep]
+
+
+def split(own: np.ndarray, key: np.ndarray, count: np.ndarray, hi: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the n-grams of over ``tile`` sets replaced by one key for each two blocks that a set's block is in."""
+    blocks = -(-count // tile)
+    big = blocks > 1
+    if not big.any():
+        return own, key, count
+    at = np.flatnonzero(big)
+    which, other = ragged(blocks[at])
+    at = at[which]
+    with np.errstate(over="ignore"):
+        mine = (mix(hi[own[at]].view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
+        pair = np.minimum(mine, other) * blocks[at] + np.maximum(mine, other)
+        new = mix(key[at] + (pair.astype(np.uint64) + np.uint64(1)) * _FACTORS[1])
+    return np.concatenate([own[~big], own[at]]), np.concatenate([key[~big], new]), np.concatenate([count[~big], count[at]])
+
+
+def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int) -> DataFrame:
+    """(key, hi, size, p0, p1): every set in each of its tiles, with its proofs; equal sets of a task are one."""
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    names = ["key", "hi", "size", *(f"p{k}" for k in range(PROOFS))]
+
+    def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, _, _, gram, size in _grams(source, n):
+            if len(seen) > 1 << 20:  # only spares work
+                seen.clear()
+            hi = set_hash(gram, size, _FACTORS[0])
+            new = np.zeros(len(hi), bool)
+            for k, h in enumerate(hi.tolist()):
+                if size[k] and h not in seen:
+                    seen.add(h)
+                    new[k] = True
+            kept = new[ragged(size)[0]]
+            gram, size, hi = gram[kept], size[new], hi[new]
+            own, key, count = split(*prefixes(gram, size, threshold, shared.value), hi, tile)
+            order = np.lexsort((key, count == 0, own))
+            place = ragged(np.bincount(own, minlength=len(size)))[1]
+            proof = np.full((len(size), PROOFS), _NEVER)
+            few = place < PROOFS
+            proof[own[order[few]], place[few]] = key[order[few]]
+            own, key = own[order], key[order]
+            for a in range(0, len(own), 1 << 17):
+                o = own[a : a + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)].view(np.int64)), pa.array(hi[o]), pa.array(size[o].astype(np.int32)), *(pa.array(proof[o, k].view(np.int64)) for k in range(PROOFS))], names=names)
+
+    return narrow(docs).where("doc_id is not null").mapInArrow(emit, ", ".join(f"{c} {'int' if c == 'size' else 'bigint'}" for c in names))
+
+
+def tile_pairs(key: np.ndarray, hi: np.ndarray, size: np.ndarray, proof: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(tile, n-grams of its sets, a, b) of the pairs of whole tiles that are in a band and not known to meet earlier."""
+    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    met = np.flatnonzero(same[1:] | same[:-1])
+    if not len(met):
+        return
+    key, hi, size, proof = key[met], hi[met], size[met].astype(np.int64), proof[met]
+    order = np.lexsort((hi, size, key))
+    key, hi, size, proof = key[order], hi[order], size[order], proof[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1])
+    key, hi, size, proof = key[once], hi[once], size[once], proof[once]
+    tile = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    grams = np.bincount(tile, size).astype(np.int64)
+    # sizes ascend within a tile: the partners of a set are the rows after it up to its band's end
+    step = int(size.max()) + 1
+    end = np.searchsorted(tile * step + size, tile * step + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), step - 1), side="right")
+    partners = end - np.arange(len(key)) - 1
+    edge = np.concatenate([[0], np.cumsum(partners)])
+    for first in range(0, int(edge[-1]), _PAIRS_AT_ONCE):
+        at = np.arange(first, min(first + _PAIRS_AT_ONCE, int(edge[-1])))
+        x = np.searchsorted(edge, at, side="right") - 1
+        y = x + 1 + at - edge[x]
+        left = np.ones(len(at), bool)
+        for p in range(PROOFS):
+            early = proof[x, p] < key[x]
+            for q in range(PROOFS):
+                left &= ~(early & (proof[x, p] == proof[y, q]))
+        x, y = x[left], y[left]
+        yield key[x].view(np.int64), grams[tile[x]], np.minimum(hi[x], hi[y]), np.maximum(hi[x], hi[y])
+
+
+def candidates(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, tile, block_a, block_b), a < b: the pairs of sets that meet in a tile's band, each in one tile."""
+    names = ["tile", "grams", "a", "b"]
+
+    def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple[np.ndarray, ...]] = []  # the rows of the last key so far
+
+        def close(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                for found in tile_pairs(*(np.concatenate(x) for x in zip(*parts)), threshold):
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+
         for batch in batches(source):
-            buf, off = text_buffer(batch.column(1))
-            for i, j in slices(off):
-                gram, size = ngram_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                docs_ = j - i
-                hi, lo = set_hash(gram, size, _FACTORS[0]), set_hash(gram, size)
-                owner, rank = ragged(size)
-                grid = np.zeros(docs_ * BITS, bool)
-                grid[owner * BITS + (gram >> np.uint64(17) & np.uint64(BITS - 1)).astype(np.int64)] = True
-                bitmap = np.packbits(grid.reshape(docs_, BITS), axis=1, bitorder="little").view("<i8")
-                prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-                take = np.minimum(prefix, most)
-                if last is not None:
-                    is_hot = last[np.minimum(np.searchsorted(last, gram), len(last) - 1)] == gram
-                    take = np.where(segment_sum(is_hot, size) * 5 > size, prefix, take)
-                    order = np.lexsort((rank, is_hot, owner))
-                    gram = gram[order]
-                take = np.where(size > 0, np.minimum(take, size), 0)
-                keep = rank < take[owner]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(gram[keep].view(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, docs_), pa.array(size), pa.array(hi), pa.array(lo), lists, *(pa.array(np.ascontiguousarray(bitmap[:, k])) for k in range(BITS // 64))], names=names)
-                yield out.filter(pa.array(size > 0))
-
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return narrow.mapInArrow(sign, "doc_id bigint, size bigint, hi bigint, lo bigint, keys array<bigint>, " + ", ".join(f"{b} bigint" for b in names[5:]))
-
-
-def _one_per_set(rows: DataFrame) -> DataFrame:
-    """Adds the smallest id of the rows with the same set (rep) and whether the row stands for it (head)."""
-    same = Window.partitionBy("hi", "lo", "size")
-    return rows.withColumn("rep", F.min("doc_id").over(same)).withColumn("head", F.row_number().over(same.orderBy("doc_id")) == 1)
-
-
-def _keys_of(sets: DataFrame) -> DataFrame:
-    return sets.where("head").select("doc_id", "hi", F.explode("keys").alias("key"))
-
-
-def candidates(sets: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
-    """(tile, block_a, block_b, a, hi_a, b, hi_b, size_a, size_b) of distinct sets that pass bands and bitmaps, each pair once."""
-    heads = sets.where("head")
-    met = _keys_of(sets).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
-    bits = [f"b{k}" for k in range(BITS // 64)]
-    rows = met.join(heads.select("doc_id", "hi", "size", "keys", *bits), ["doc_id", "hi"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("met") / TILE_BLOCK)))
-    rows = rows.withColumn("place", F.array_position("keys", F.col("key")).cast("int"))
-    x, y = rows.alias("x"), rows.alias("y")
-    differing = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    both = F.col("x.size") + F.col("y.size")
-    need = both * (threshold / (1 + threshold)) - 1e-9
-    earlier = lambda s: F.slice(F.col(f"{s}.keys"), F.lit(1), F.col(f"{s}.place") - 1)
-    most = key_count(threshold, miss)
-    full = (F.size("x.keys") == most) & (F.size("y.keys") == most)
-    condition = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.doc_id") < F.col("y.doc_id"))
-        & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-9)
-        & ((both - differing) / 2 >= need)
-        & (~full | (F.size(F.array_intersect("x.keys", "y.keys")) >= least_common(threshold, most)))
-        & ~F.arrays_overlap(earlier("x"), earlier("y"))
-    )
-    return x.join(y, condition).select(
-        F.col("x.key").alias("tile"), F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b"),
-        F.col("x.doc_id").alias("a"), F.col("x.hi").alias("hi_a"), F.col("y.doc_id").alias("b"), F.col("y.hi").alias("hi_b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"),
-    )
-
-
-def verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs at or above the threshold, by exact overlaps of sorted arrays, tile by tile."""
+            key, hi, size, *proof = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+            rows = (key.view(np.uint64), hi, size, np.stack([p.view(np.uint64) for p in proof], 1))
+            if open_ and open_[-1][0][-1] != rows[0][0]:
+                yield from close(open_)
+                open_ = []
+            whole = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield from close([*open_, tuple(x[:cut] for x in rows)])
+                open_ = []
+            open_.append(tuple(x[cut:].copy() for x in rows))
+        yield from close(open_)
+
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, ", ".join(f"{c} bigint" for c in names))
+    one = pairs.groupBy("a", "b").agg(F.min(F.struct("tile", "grams")).alias("t"))
+    blocks = F.ceil(F.col("t.grams") / BLOCK_GRAMS)
+    return one.select("a", "b", "t.tile", *(F.pmod(F.xxhash64(c), blocks).alias(f"block_{c}") for c in "ab"))
+
+
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, smallest node that the pairs connect it with, its pairs) of the nodes in pairs."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[u], label[v]), label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label], np.bincount(at, minlength=len(nodes))
+        label = new
+
+
+def verify(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(hi, near, links): of each set in pairs at or above the threshold its partners, and a member of its group; a row for each tile."""
     tile = ["tile", "block_a", "block_b"]
-    guests = pairs.select(*tile, F.col("a").alias("doc_id")).union(pairs.select(*tile, F.col("b").alias("doc_id"))).distinct().groupBy("doc_id").agg(F.collect_list(F.struct(*tile)).alias("tiles"))
-    guests = settle(guests)
+    guests = pairs.select(*tile, F.col("a").alias("hi")).union(pairs.select(*tile, F.col("b").alias("hi"))).distinct().groupBy("hi").agg(F.collect_list(F.struct(*tile)).alias("tiles"))
+    guests = settle(guests.join(heads, "hi").select(F.col("rep").alias("guest"), "hi", "tiles"))
     few = guests.agg(F.sum(F.size("tiles"))).first()[0] or 0
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(F.broadcast(guests) if few <= BROADCAST_ROWS else guests, "doc_id").select("doc_id", "text", "tiles")
+    wanted = narrow(docs).join(F.broadcast(guests) if few <= BROADCAST_ROWS else guests, F.col("doc_id") == F.col("guest")).select("hi", "text", "tiles")
 
     def arrays(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            buf, off = text_buffer(batch.column(1))
-            for i, j in slices(off):
-                gram, size = ngram_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(gram.view(np.int64)))
-                hi = pa.array(set_hash(gram, size, _FACTORS[0]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), hi, sets, batch.column(2).slice(i, j - i)], names=["doc_id", "hi", "grams", "tiles"])
-
-    schema = "doc_id bigint, hi bigint, grams array<bigint>, tiles array<struct<tile: bigint, block_a: bigint, block_b: bigint>>"
-    sent = wanted.mapInArrow(arrays, schema).select(F.explode("tiles").alias("t"), "doc_id", "hi", "grams").select("t.*", F.col("doc_id").alias("a"), F.col("hi").alias("hi_a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("hi_b"), "grams")
-    asked = pairs.select(*tile, "a", "hi_a", "b", "hi_b", F.lit(None).cast("array<bigint>").alias("grams"))
+        for batch, i, j, gram, size in _grams(source, n):
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(gram.view(np.int64)))
+            hi = batch.column(0).slice(i, j - i)
+            # an id may have several texts; only the one whose set was asked for goes on
+            yield pa.RecordBatch.from_arrays([hi, sets, batch.column(2).slice(i, j - i)], names=["hi", "grams", "tiles"]).filter(pa.array(set_hash(gram, size, _FACTORS[0]) == hi.to_numpy()))
+
+    sent = wanted.mapInArrow(arrays, "hi bigint, grams array<bigint>, tiles array<struct<tile: bigint, block_a: bigint, block_b: bigint>>")
+    sent = sent.select(F.explode("tiles").alias("t"), "hi", "grams").select("t.*", F.col("hi").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
+    asked = pairs.select(*tile, "a", "b", F.lit(None).cast("array<bigint>").alias("grams"))
     # arrays (b is null) come before the pairs of their tile
-    rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a", "hi_a")
+    rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a")
 
     def overlap(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, sets = None, {}
         for batch in batches(source):
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            a, hi, b, grams = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5), batch.column(7)
+            at, a, b = np.stack([batch.column(k).to_numpy() for k in range(3)], 1), batch.column(3).to_numpy(), batch.column(4)
             is_pair = np.array(b.is_valid())
-            other, other_hi = b.fill_null(0).to_numpy(), batch.column(6).fill_null(0).to_numpy()
-            flat, edge = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), grams.offsets.to_numpy()
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            i, rows_ = 0, batch.num_rows
-            while i < rows_:
-                if keys[i] != here:
-                    here, sets = keys[i], {}
+            other = b.fill_null(0).to_numpy()
+            arrays_ = batch.column(5).filter(pa.array(~is_pair))
+            flat, edge = arrays_.values.to_numpy().view(np.uint64), arrays_.offsets.to_numpy()
+            bits = signatures(flat[edge[0] : edge[-1]], np.diff(edge)) if len(arrays_) else None
+            slot = np.cumsum(~is_pair) - 1
+            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1]))]))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+                if tuple(at[i]) != here:
+                    here, sets = tuple(at[i]), {}
                 if not is_pair[i]:
-                    sets[int(a[i]), int(hi[i])] = flat[edge[i] : edge[i + 1]].copy()
-                    i += 1
+                    for k in range(i, j):
+                        s = slot[k]
+                        sets[int(a[k])] = (flat[edge[s] : edge[s + 1]].copy(), bits[s].copy())
                     continue
-                j = i
-                while j < rows_ and is_pair[j] and keys[j] == here and a[j] == a[i] and hi[j] == hi[i]:
-                    j += 1
-                mine = sets[int(a[i]), int(hi[i])]
-                theirs = [sets[x] for x in zip(other[i:j].tolist(), other_hi[i:j].tolist())]
-                size = np.array([len(t) for t in theirs])
-                merged = np.concatenate(theirs)
-                slot = np.minimum(np.searchsorted(mine, merged), len(mine) - 1)
-                common = segment_sum(mine[slot] == merged, size)
-                jaccard = common / (len(mine) + size - common)
-                good = jaccard >= threshold - 1e-9
-                found.append((a[i:j][good], other[i:j][good], jaccard[good]))
-                i = j
+                mine, my_bits = sets[int(a[i])]
+                theirs = [sets[x] for x in other[i:j].tolist()]
+                size = np.array([len(t) for t, _ in theirs])
+                differing = np.bitwise_count(np.stack([x for _, x in theirs]) ^ my_bits).sum(1, dtype=np.int64)
+                both = len(mine) + size
+                maybe = np.flatnonzero((both - differing) / 2 >= both * (threshold / (1 + threshold)) - 1e-9)
+                if not len(maybe):
+                    continue
+                merged = np.concatenate([theirs[k][0] for k in maybe.tolist()])
+                hit = mine[np.minimum(np.searchsorted(mine, merged), len(mine) - 1)] == merged
+                common = segment_sum(hit, size[maybe])
+                good = maybe[common / (both[maybe] - common) >= threshold - 1e-9]
+                found.append((np.full(len(good), a[i]), other[i:j][good]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["doc_a", "doc_b", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in star(*(np.concatenate(x) for x in zip(*found)))], names=["hi", "near", "links"])
 
-    return rows.mapInArrow(overlap, "doc_a bigint, doc_b bigint, jaccard double")
+    return rows.mapInArrow(overlap, "hi bigint, near bigint, links bigint")
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, miss: float = MISS, hot: int = HOT) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of distinct sets at or above the threshold,
-    named by the smallest id of each set, and every other document of a set with that id (jaccard 1).
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = LISTED, at_once: int = COUNT_AT_ONCE, tile: int = TILE) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that has a partner.
 
-    Every pair of documents follows: two are similar if their sets' smallest ids are equal or paired.
+    ``class_id`` is the smallest id of the documents that equal or similar sets connect
+    it with; ``n_links`` counts the other sets at or above the threshold to its own set
+    (equal sets are one; a document of several texts has the sum of its sets' links).
     """
-    sets = settle(_one_per_set(signatures(docs, n, threshold, miss, np.empty(0, np.uint64))))
-    common = _keys_of(sets).groupBy("key").count().where(F.col("count") > hot).orderBy(F.desc("count"), "key").limit(HOT_MOST).collect()
-    if common:
-        last = np.sort(np.array([r.key for r in common], np.int64).view(np.uint64))
-        sets = settle(_one_per_set(signatures(docs, n, threshold, miss, last)))
-    near = verify(docs, settle(candidates(sets, threshold, miss)), n, threshold)
-    copies = sets.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return near.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard")).union(copies)
-
-
-def groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, root): the smallest id of the group that pairs connect, for every id in a pair.
+    sets = settle(set_table(docs, n))
+    heads = settle(sets.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") < F.max("doc_id")).alias("copied")))
+    keys = tile_keys(docs, n, threshold, listed_grams(docs, n, most, at_once), tile)
+    near = settle(verify(docs, heads, settle(candidates(keys, threshold)), n, threshold))
+    # the texts of one document are in one class
+    own = sets.groupBy("doc_id").agg(F.min("hi").alias("u"), F.max("hi").alias("last")).where("u < last")
+    own = sets.join(own, "doc_id").where("hi > u").select("u", F.col("hi").alias("v"))
+    roots = groups(near.where("hi <> near").select("hi", "near").union(own))
+    links = near.groupBy("hi").agg(F.sum("links").alias("n_links"))
+    known = heads.join(roots.withColumnRenamed("node", "hi"), "hi", "left").join(links, "hi", "left").where("copied or root is not null")
+    known = settle(known.select("hi", "lo", "size", "rep", "copied", F.coalesce("root", "hi").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    classes = known.groupBy("root").agg(F.min("rep").alias("class_id"), (F.max("copied") | (F.min("rep") < F.max("rep"))).alias("several")).where("several")
+    rows = sets.distinct().join(known.join(classes, "root"), ["hi", "lo", "size"])
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+
+
+def groups(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of the group that the edges (two columns) connect, for every node in an edge.
 
     Labels are taken from neighbours and then from the label's own label until none
     changes; each round is written to the shared folder.
     """
-    links = settle(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).union(pairs.select("doc_b", "doc_a")))
-    labels = settle(links.groupBy(F.col("u").alias("doc_id")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    edges = edges.toDF("u", "v")
+    links = settle(edges.union(edges.select("v", "u")).distinct())
+    labels = settle(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
-        around = links.join(labels, links.v == labels.doc_id).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(around, labels.doc_id == around.u, "left").select("doc_id", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        roots = labels.select(F.col("doc_id").alias("of"), F.col("root").alias("up"))
-        step = settle(step.join(roots, step.new == roots.of, "left").select("doc_id", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
-        labels = step.select("doc_id", F.col("new").alias("root"))
+        around = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
+        step = labels.join(around, labels.node == around.u, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
+        roots = labels.select(F.col("node").alias("of"), F.col("root").alias("up"))
+        step = settle(step.join(roots, step.new == roots.of, "left").select("node", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
+        labels = step.select("node", F.col("new").alias("root"))
         if step.where("new <> root").isEmpty():
             return labels
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all their columns unchanged, less those of a group that have not its smallest id."""
-    gone = settle(groups(jaccard_join(docs, **options)).where("root < doc_id").select(F.col("doc_id").alias("__gone")))
+    """The rows of ``docs``, all their columns unchanged, less those of a class that have not its smallest id.
+
+    Of rows with the same id and text one stays.
+    """
+    gone = settle(jaccard_join(docs, **options).where("class_id < doc_id").select(F.col("doc_id").alias("gone")))
     lost = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(lost, docs["doc_id"] == lost["__gone"], "left_anti")
-    again = settle(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
+    kept = docs.join(lost, docs["doc_id"] == lost["gone"], "left_anti")
+    again = settle(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"))
     if again.isEmpty():
         return kept
-    twice = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates()
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").union(twice)
+    twice = kept.join(again, kept["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == again["again"], "left_anti").union(twice)
 
 
 def jaccard_sql(docs: str = "documents", threshold: float = THRESHOLD) -> str:
-    """CTEs that end in ``pairs`` (doc_a, doc_b, jaccard), in DuckDB, by counting shared n-gram strings."""
+    """The same in DuckDB, by counting shared n-gram strings of distinct sets and closing the links."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-jwords as (
+with recursive jwords as (
   select doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^ \\t\\n\\r\\x0B\\x0C]+') as ws from {docs} where doc_id is not null and text is not null
 ), jgrams as (
   select distinct doc_id, array_to_string(ws[i:i + {N - 1}], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {N - 2}, 2))) as i from jwords where len(ws) > 0)
 ), jsets as (select doc_id, count(*) as n, md5(array_to_string(list(g order by g), '|')) as h from jgrams group by doc_id
-), jreps as (select doc_id, n, min(doc_id) over (partition by h, n) as rep from jsets
+), jreps as (select doc_id, n, min(doc_id) over (partition by h, n) as rep, count(*) over (partition by h, n) as copies from jsets
 ), jdistinct as (select g.doc_id, g.g, r.n from jgrams g join jreps r using (doc_id) where r.doc_id = r.rep
-), jcommon as (select a.doc_id as doc_a, b.doc_id as doc_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from jdistinct a join jdistinct b on a.g = b.g and a.doc_id < b.doc_id group by all
-), pairs as (
-  select doc_a, doc_b, round(shared / (na + nb - shared), 6) as jaccard from jcommon where shared / (na + nb - shared) >= {threshold} - 1e-9
-  union all select rep, doc_id, 1.0::double from jreps where rep <> doc_id
-)"""
+), jcommon as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from jdistinct a join jdistinct b on a.g = b.g and a.doc_id < b.doc_id group by all
+), pairs as (select a, b from jcommon where shared / (na + nb - shared) >= {threshold} - 1e-9
+), both_ways as (select a, b from pairs union all select b, a from pairs
+), reach as (select a, b from both_ways union select r.a, p.b from reach r join both_ways p on r.b = p.a
+), root as (select a, least(a, min(b)) as root from reach group by a
+), degree as (select a, count(*) as n_links from both_ways group by a)
+select r.doc_id, coalesce(root, rep) as class_id, coalesce(n_links, 0)::bigint as n_links
+from jreps r left join root on root.a = rep left join degree on degree.a = rep
+where copies > 1 or root is not null"""

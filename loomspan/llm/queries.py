@@ -68,4 +68,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_token_ids, op5_decontaminate, op6_secret_scan, op6_secret_scan_keys, op7_extract_content, op8_jaccard_join, op9_substring_dedup, op9_substring_dedup_runs, op10_quality_rules, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql(), "op8_jaccard_join": f"with {jaccard.jaccard_sql()} select doc_a, doc_b, jaccard from pairs", "op9_substring_dedup": spans.dedup_sql(), "op9_substring_dedup_runs": spans.dedup_sql(ends=True)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.mixing_sql(), "op6_secret_scan": secrets.secret_sql(), "op8_jaccard_join": jaccard.jaccard_sql(), "op9_substring_dedup": spans.dedup_sql(), "op9_substring_dedup_runs": spans.dedup_sql(ends=True)}

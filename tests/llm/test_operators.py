@@ -199,24 +199,49 @@ def grams(text):
 
 
 def brute_pairs(rows, threshold=jaccard.THRESHOLD):
+    """Pairs of ids whose sets are similar; ids must not repeat."""
     sets = {i: grams(t) for i, t in rows if i is not None and grams(t)}
     ids = sorted(sets)
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
-def similar(rows):
-    """All pairs that the join's answer stands for."""
-    copies = {r.doc_b: r.doc_a for r in rows if r.jaccard == 1.0}
-    ids = {i for r in rows for i in (r.doc_a, r.doc_b)}
-    pairs = {(r.doc_a, r.doc_b) for r in rows}
-    head = lambda i: copies.get(i, i)
-    return {(a, b) for a in ids for b in ids if a < b and (head(a) == head(b) or (min(head(a), head(b)), max(head(a), head(b))) in pairs)}
-
-
-@pytest.mark.parametrize("hot", [jaccard.HOT, 2])
-def test_jaccard_join(spark, docs, hot):
-    rows = jaccard.jaccard_join(docs, hot=hot).collect()
-    assert similar(rows) == set(brute_pairs(held(docs)))
+def brute_classes(rows, threshold=jaccard.THRESHOLD):
+    """(id, class, links) by comparing all distinct sets; ids may repeat."""
+    owners = {}
+    for i, t in rows:
+        if i is not None and grams(t):
+            owners.setdefault(grams(t), set()).add(i)
+    sets, links, root = list(owners), Counter(), {i: i for ids in owners.values() for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(ids):
+        low = min(map(find, ids))
+        for i in ids:
+            root[find(i)] = low
+
+    for k, x in enumerate(sets):
+        join(owners[x])
+        for y in sets[k + 1 :]:
+            if len(x & y) >= threshold * len(x | y):
+                links[x] += 1
+                links[y] += 1
+                join(owners[x] | owners[y])
+    size = Counter(find(i) for i in root)
+    total = Counter()
+    for x in sets:
+        for i in owners[x]:
+            total[i] += links[x]
+    return {(i, find(i), total[i]) for i in root if size[find(i)] > 1}
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 50, "at_once": 5000}, {"tile": 3}, {"most": 0, "threshold": 0.35}, {"threshold": 0.9, "n": 3}])
+def test_jaccard_join(spark, docs, options):
+    got = {tuple(r) for r in jaccard.jaccard_join(docs, **options).collect()}
+    assert got == brute_classes(held(docs), options.get("threshold", jaccard.THRESHOLD)) and got
 
 
 def test_jaccard_groups(spark, odd, none):
@@ -224,8 +249,8 @@ def test_jaccard_groups(spark, odd, none):
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, None: 1, 6: 1, 8: 1, 9: 1})
     assert jaccard.keep_one(none).count() == 0 and jaccard.jaccard_join(none).count() == 0
-    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "doc_a long, doc_b long")
-    roots = {r.doc_id: r.root for r in jaccard.groups(chain).collect()}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
+    roots = {r.node: r.root for r in jaccard.groups(chain).collect()}
     assert all(roots[i] == 1 for i in range(1, 41)) and roots[101] == 100
 
 
