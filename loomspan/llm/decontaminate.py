@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._text import batches, ragged, slices, text_buffer
+from loomspan.llm._text import batches, bound_batches, narrow, ragged, slices, text_buffer
 
 Q = 8
 #: Edits allowed, as a part of the item's length.
@@ -177,7 +177,7 @@ SCHEMA = "doc_id bigint, item_id bigint, edits bigint, budget bigint, char_end b
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """One row per document and item found in it: edits, the item's edit budget, character position past the match."""
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = narrow(docs)
 
     def part(index: Index) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -194,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHA
                         rows.append((batch.column(0)[i + d].as_py(), known.ids[item], edits, int(known.budget[item]), chars))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "edits", "budget", "char_end"])
 
-        return narrow.mapInArrow(find, SCHEMA)
+        return rows.mapInArrow(find, SCHEMA)
 
     return reduce(DataFrame.unionAll, map(part, indexes(benchmark, share)))
 
@@ -216,6 +216,7 @@ def _clean(shared):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """The rows of ``docs``, all their columns unchanged, in which no item is found."""
+    docs = bound_batches(docs)
     for index in indexes(benchmark, share):
         clean = _clean(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(clean(F.col("text").cast("string")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._sample import smallest
-from loomspan.llm._text import batches
+from loomspan.llm._text import batches, narrow
 
 #: Labelled pages that are fitted at most (the classifier's sample bound).
 FIT_PAGES = 400
@@ -231,5 +231,4 @@ def extract_content(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 nodes = [len(t.parent) if x else 0 for t, x in zip(trees, html)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array([x for x, _ in done], pa.string())], names=["page_id", "n_nodes", "n_content", "text"])
 
-    narrow = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInArrow(read, "page_id bigint, n_nodes bigint, n_content bigint, text string")
+    return narrow(pages, key="page_id", text="html").mapInArrow(read, "page_id bigint, n_nodes bigint, n_content bigint, text string")

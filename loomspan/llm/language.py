@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._text import batches, slices, text_buffer
+from loomspan.llm._text import batches, bound_batches, narrow, slices, text_buffer
 
 #: Closely related languages; a language not named here is a family of its own.
 FAMILIES = {"germanic": ("af", "da", "de", "en", "nl", "no", "sv"), "romance": ("ca", "es", "fr", "it", "pt", "ro"), "slavic": ("bg", "cs", "hr", "pl", "ru", "sk", "sr", "uk")}
@@ -193,8 +193,7 @@ def language_id(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
                 names=["doc_id", "lang", "family", "predicted", "margin", "known", "accepted"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return narrow.mapInArrow(judge, SCHEMA)
+    return narrow(docs, "lang").mapInArrow(judge, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
@@ -215,4 +214,4 @@ def keep_identified(docs: DataFrame, model: Hierarchy | None = None) -> DataFram
         _, language, margin, known = (np.concatenate(x) for x in zip(*parts))
         return pd.Series(np.array([x is not None for x in language]) & (margin >= machine.least) & (known >= LEAST_KNOWN))
 
-    return docs.where(accepted(F.col("text").cast("string")))
+    return bound_batches(docs).where(accepted(F.col("text").cast("string")))

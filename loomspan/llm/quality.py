@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._sample import smallest
-from loomspan.llm._text import MULTIPLIER, SPACE, batches, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
+from loomspan.llm._text import MULTIPLIER, SPACE, batches, narrow, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
 from loomspan.session import settle
 
 #: Labelled rows that the forest is grown on at most (the classifier's sample bound).
@@ -152,8 +152,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blank), flat], names=["doc_id", "blank", "stats"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(measure, "doc_id bigint, blank boolean, stats array<float>")
+    return narrow(docs).mapInArrow(measure, "doc_id bigint, blank boolean, stats array<float>")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_lost: float = MOST_LOST) -> DataFrame:

@@ -24,9 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomspan.llm._text import batches, slices, text_buffer
+from loomspan.llm._text import batches, narrow, slices, text_buffer
 
 WINDOW = 20
 #: class -> (members, least entropy in bits of a window)
@@ -125,8 +124,7 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple]
                 names=["doc_id", "char_start", "n_chars", "char_class", "max_entropy", "window_start"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(scan, SCHEMA)
+    return narrow(docs).mapInArrow(scan, SCHEMA)
 
 
 def secret_sql(window: int = WINDOW) -> str:

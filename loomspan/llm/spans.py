@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._text import INVERSE, MULTIPLIER, batches, mix, powers, prefix_hash, ragged, slices, span_hash, text_buffer, words
+from loomspan.llm._text import INVERSE, MULTIPLIER, batches, mix, narrow, powers, prefix_hash, ragged, slices, span_hash, text_buffer, words
 
 SENTENCES = 2
 WORDS = 20
@@ -90,8 +90,7 @@ def span_table(docs: DataFrame, ends: bool = False) -> DataFrame:
                 code, doc, place, n = spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], ends)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ids[i:j][doc]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], names=["span", "doc_id", "place", "n"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return narrow.mapInArrow(find, "span bigint, doc_id bigint, place int, n int")
+    return narrow(docs).where("doc_id is not null").mapInArrow(find, "span bigint, doc_id bigint, place int, n int")
 
 
 def repeated(docs: DataFrame, ends: bool = False) -> DataFrame:

@@ -23,9 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomspan.llm._text import batches, slices, text_buffer, words
+from loomspan.llm._text import batches, narrow, slices, text_buffer, words
 from loomspan.llm.vocab import BYTE_VOCABULARY, read_ranks
 
 #: Words longer than this are walked one at a time instead of in lockstep.
@@ -132,8 +131,7 @@ def token_counts(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFram
                 n_words[i:j], n_tokens[i:j] = per, seen[bound[1:]] - seen[bound[:-1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_tokens)], names=["doc_id", "n_words", "n_tokens"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(count, SCHEMA)
+    return narrow(docs).mapInArrow(count, SCHEMA)
 
 
 def brute_counts(text: str | None, pieces: set[bytes]) -> int:

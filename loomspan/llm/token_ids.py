@@ -13,19 +13,19 @@ from the lowest; a u8 place for each exception; a u32 difference for each except
 Defined results
   null or empty text: 0 tokens, an empty payload, no block; null doc_id: kept as null;
   strings that look like special tokens: ordinary text; repeated rows: one output row each;
-  long texts: as many blocks as it takes; an empty table: no rows; other columns: ignored.
+  long texts, blank or without a blank: as many blocks as it takes; an empty table: no rows; other columns: ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomspan.llm._text import batches, ragged
+from loomspan.llm._text import batches, narrow, ragged
 from loomspan.llm.vocab import BYTE_VOCABULARY, read_ranks
 
 BLOCK = 128
@@ -35,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SCHEMA = "doc_id bigint, n_tokens bigint, block_starts array<int>, payload binary"
 #: Tokens packed at a time.
 _CHUNK = 1 << 18
+#: Runs of white space (as the pattern's \\s has it) that are too long for the pattern's backtracking.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 
 _encoders: dict[str, object] = {}
 
@@ -48,6 +50,20 @@ def encoder(name: str, ranks: dict[bytes, int]):
     return _encoders[name]
 
 
+def encode(machine, text: str | None) -> np.ndarray:
+    """The ids of a text. A long run of white space is a piece of its own but for its last
+    character (the pattern's ``\\s+(?!\\S)``), so it is cut out before the pattern sees it."""
+    if not text:
+        return np.empty(0, np.uint32)
+    parts, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts += [machine.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(machine._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32)]
+        at = end
+    rest = machine.encode_to_numpy(text[at:], disallowed_special=()) if at < len(text) else np.empty(0, np.uint32)
+    return np.concatenate([*parts, rest]) if parts else rest
+
+
 def pack(ids: np.ndarray, counts: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(payload bytes, bytes per block, blocks per document) of documents of ``counts`` ids each."""
     ids = np.asarray(ids, np.uint32)
@@ -119,15 +135,14 @@ def token_ids(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, shared.value).encode_to_numpy
+        machine = encoder(vocabulary, shared.value)
         for batch in batches(source):
             texts, i = batch.column(1), 0
             while i < len(texts):
                 ids, n = [], 0
                 first = i
                 while i < len(texts) and n < _CHUNK:
-                    text = texts[i].as_py()
-                    ids.append(encode(text, disallowed_special=()) if text else np.empty(0, np.uint32))
+                    ids.append(encode(machine, texts[i].as_py()))
                     n += len(ids[-1])
                     i += 1
                 counts = np.array([len(x) for x in ids], np.int64)
@@ -140,5 +155,4 @@ def token_ids(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
                 data = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(byte.astype(np.int64)), pa.py_buffer(payload)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), pa.array(counts), starts, data], names=["doc_id", "n_tokens", "block_starts", "payload"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(write, SCHEMA)
+    return narrow(docs).mapInArrow(write, SCHEMA)
