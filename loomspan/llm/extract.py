@@ -13,7 +13,8 @@ model never sees these tags (they count as ``div``), so pages without them are r
 Defined results
   null or empty html: no nodes, empty text; text without tags: one text node, judged by the model;
   broken markup: open elements end with their parent, stray end tags are dropped;
-  null page_id: kept as null; repeated rows: extracted once each; long and deep pages: read whole;
+  null page_id: kept as null; repeated rows: extracted once each;
+  long and deep pages, and tags that never end: read whole, in one pass;
   no labelled page to train on: all text outside head, script and style is content;
   an empty table: no rows; other columns: ignored, whatever their names.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,50 @@ _RAW = {"script", "style", "noscript", "template"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _BLOCK = {"p", "div", "ul", "ol", "li", "table", "section", "article", "main", "header", "footer", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl"}
 _SCOPE = {"div", "section", "article", "main", "body", "table", "ul", "ol", "nav", "header", "footer", "aside", "form", "blockquote", "dl", "html"}
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_CHROME = re.compile(r"(?i)(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(ads?|advert\w*|nav\w*|menu|foot\w*|side\w*|banner|cookie\w*|share|social|comment\w*|promo)\b")
+_NAME = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
+_MARK = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?i)(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)")
+_CHROME = re.compile(r"(?i)\b(ads?|advert\w*|nav\w*|menu|foot\w*|side\w*|banner|cookie\w*|share|social|comment\w*|promo)\b")
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, lower-case name, attributes, whether it closes) of every tag; comments and declarations have no name.
+
+    A tag ends at the first ``>`` outside quotes; a ``<`` without one is text. Where a
+    tag ends is known for every mark (``>`` or quote) from one pass backwards over them,
+    so that the page is read once however many of its tags are broken. The caller may
+    send the place to go on from, as after a script.
+    """
+    marks = [m.start() for m in _MARK.finditer(page)]
+    ends = [-1] * (len(marks) + 1)
+    following = {'"': -1, "'": -1}
+    for k in range(len(marks) - 1, -1, -1):
+        c = page[marks[k]]
+        if c == ">":
+            ends[k] = marks[k]
+        else:
+            ends[k] = ends[following[c] + 1] if following[c] >= 0 else -1
+            following[c] = k
+    last = page.rfind(">")
+    at = page.find("<")
+    while at >= 0:
+        go = at + 1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            go = len(page) if end < 0 else end + 3
+            yield at, go, "", "", False
+        elif page.startswith(("<!", "<?"), at):
+            if last > at:
+                go = page.find(">", at) + 1
+                yield at, go, "", "", False
+        else:
+            close = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + close)
+            end = ends[bisect_left(marks, name.end())] if name else -1
+            if end >= 0:
+                go = end + 1
+                go = (yield at, go, name.group().lower(), page[name.end() : end], close) or go
+        at = page.find("<", go)
 
 
 class Tree:
@@ -56,41 +100,55 @@ class Tree:
         self.parent, self.depth, self.tag, self.text, self.chrome, self.inside, self.block, self.link = [], [], [], [], [], [], [], []
         self._add(-1, "html", "", False)
         stack: list[tuple[int, str]] = [(0, "html")]
+        # how many elements of a name are open, in all and since each open element that bounds what an implied end reaches
+        opened: dict[str, int] = {}
+        scopes: list[dict[str, int]] = [{}]
+
+        def shut(names: set[str]) -> None:
+            while True:
+                name = stack.pop()[1]
+                opened[name] -= 1
+                if name in _SCOPE:
+                    scopes.pop()
+                else:
+                    scopes[-1][name] -= 1
+                if name in names:
+                    return
+
         at = 0
-        while at < len(page):
-            m = _TAG.search(page, at)
-            between = page[at : m.start() if m else len(page)]
+        scan = tags(page)
+        found = next(scan, None)
+        while found:
+            first, end, name, attributes, close = found
+            between, at, skip = page[at:first], end, None
             if between and not between.isspace():
                 self._add(stack[-1][0], "#text", between, False)
-            if not m:
-                break
-            at = m.end()
-            name = m.group(2)
-            if not name:
-                continue
-            name = name.lower()
-            if m.group(1):
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == name), 0)
-                if depth:
-                    del stack[depth:]
-                continue
-            if name in _RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            if name == "html":
-                continue
-            shut = _CLOSES.get(name) or ({"p"} if name in _BLOCK else None)
-            if shut:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in shut:
-                        del stack[k:]
-                        break
-                    if stack[k][1] in _SCOPE:
-                        break
-            node = self._add(stack[-1][0], name, "", bool(_CHROME.search(m.group(3))))
-            if name not in _VOID and not m.group(3).endswith("/"):
-                stack.append((node, name))
+            if close:
+                if opened.get(name):
+                    shut({name})
+            elif name in _RAW:
+                raw_end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = skip = raw_end.end() if raw_end else len(page)
+            elif name and name != "html":
+                ended = _CLOSES.get(name) or ({"p"} if name in _BLOCK else ())
+                if any(scopes[-1].get(x) for x in ended):
+                    shut(ended)
+                chrome = any(_CHROME.search(m[1]) for m in _ATTRIBUTE.finditer(attributes))
+                node = self._add(stack[-1][0], name, "", chrome)
+                if name not in _VOID and not attributes.endswith("/"):
+                    stack.append((node, name))
+                    opened[name] = opened.get(name, 0) + 1
+                    if name in _SCOPE:
+                        scopes.append({})
+                    else:
+                        scopes[-1][name] = scopes[-1].get(name, 0) + 1
+            try:
+                found = scan.send(skip) if skip else next(scan, None)
+            except StopIteration:
+                found = None
+        between = page[at:]
+        if between and not between.isspace():
+            self._add(stack[-1][0], "#text", between, False)
 
     def _add(self, parent: int, name: str, text: str, chrome: bool) -> int:
         k = len(self.parent)
