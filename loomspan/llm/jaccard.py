@@ -13,14 +13,20 @@ hash. Which ones are listed changes the cost, never the pairs. A tile of over ``
 sets is split into blocks, and each two blocks meet in a tile of their own.
 
 Bands. The sets of a tile are sorted by size, and each meets those of its band: no larger
-than its own size over the threshold. A pair that is known to meet in an earlier tile
-(two prefix n-grams travel with each set) is left to that one; what is left is made unique.
-
-Signatures and verification. The sorted arrays of the sets in pairs are made again from
-the text and sent to the pair's tile (in blocks of about ``BLOCK_GRAMS``). Half of (sizes
-less differing bits of their 512-bit signatures) is an upper bound of the overlap; pairs
-whose bound reaches what the threshold needs are intersected exactly. Each tile answers
-with one row a set (its partners counted, one edge to its group), never with its pairs.
+than its own size over the threshold. A pair's own sizes say how much it must have in
+common, and so how early in both orders one of its common n-grams must come: a tile whose
+n-gram comes later in either set is none of the pair's. Of its tiles the first counts: two
+prefix n-grams travel with each set, and a pair that both show to meet earlier is left to
+that tile; what is left is made unique.
+
+Signatures and verification. A set's signature has two bits or more for each n-gram, and in
+each bit the parity of the n-grams hashed to it; the longer one of a pair is folded to the
+length of the other. Half of (sizes less differing bits) is an upper bound of the overlap;
+pairs whose bound reaches what the threshold needs go on. A pair is verified where its sets' leaders meet (a set's leader is the smallest
+of itself and its partners, so that a group of copies meets in one place), in blocks of
+about ``BLOCK_GRAMS``: the sorted arrays are made again from the text, sent there and
+intersected exactly. Each place answers with one row a set (its partners counted, one
+edge to its group), never with its pairs.
 
 Defined results
   null, empty or blank text: no n-grams, no partner; null doc_id: left out;
@@ -51,16 +57,16 @@ LISTED = 1 << 18
 COUNT_AT_ONCE = 1 << 21
 #: Sets of one tile; a tile of more is split into blocks.
 TILE = 1 << 14
-#: N-grams of a tile's sets in one block of the verification.
+#: N-grams of the sets with one leader in a block of the verification.
 BLOCK_GRAMS = 1 << 20
 #: Prefix n-grams that travel with a set, to tell whether a pair meets in an earlier tile.
 PROOFS = 2
-BITS = 512
 #: Rows of ids that may be broadcast; a larger set is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _PAIRS_AT_ONCE = 1 << 18
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 _NEVER = np.uint64((1 << 64) - 1)
+_RANK_BITS, _LAST_RANK = 21, (1 << 21) - 1
 
 
 def ngram_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +104,37 @@ def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
 
 
-def signatures(gram: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS bits (as 64-bit words) per set: a bit for each n-gram's hash."""
+def signatures(gram: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A bitmap per set, of a power of two of bytes with two bits or more an n-gram: the parity of the n-grams of each bit."""
+    n_bytes = 8 << np.maximum(0, np.frexp((size / 32).astype(np.float64))[1])
     owner = ragged(size)[0]
-    grid = np.zeros(len(size) * BITS, bool)
-    grid[owner * BITS + (gram >> np.uint64(17) & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(grid.reshape(len(size), BITS), axis=1, bitorder="little").view("<u8")
+    base = np.concatenate([[0], np.cumsum(n_bytes)])
+    bit = base[:-1][owner] * 8 + ((gram >> np.uint64(17)).astype(np.int64) & (n_bytes[owner] * 8 - 1))
+    parity = (np.bincount(bit, minlength=int(base[-1]) * 8) & 1).astype(np.uint8)
+    data = np.packbits(parity, bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(base.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def differing_bits(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many bits of the two signatures of each row differ, at the length of the shorter one."""
+    sides = []
+    for x in (a, b):
+        _, edge, data = x.buffers()
+        edge = np.frombuffer(edge, np.int32, len(x) + 1, x.offset * 4).astype(np.int64)
+        sides.append((edge[:-1], np.diff(edge), np.frombuffer(data, np.uint8)))
+    out = np.zeros(len(a), np.int64)
+    length = np.stack([s[1] for s in sides], 1)
+    for pair in np.unique(length, axis=0):
+        rows = np.flatnonzero((length == pair).all(1))
+        bits = []
+        for (start, _, data), n in zip(sides, pair.tolist()):
+            x = data[start[rows][:, None] + np.arange(n)]
+            while n > pair.min():
+                n //= 2
+                x = x[:, :n] ^ x[:, n:]
+            bits.append(x)
+        out[rows] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+    return out
 
 
 def _grams(source: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -115,14 +146,14 @@ def _grams(source: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, hi, lo, size) of every row with an id and an n-gram: two hashes of its set and the set's size."""
+    """(doc_id, hi, lo, size, bits) of every row with an id and an n-gram: two hashes of its set, its size and signature."""
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, j, gram, size in _grams(source, n):
-            out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_hash(gram, size, _FACTORS[0])), pa.array(set_hash(gram, size)), pa.array(size)], names=["doc_id", "hi", "lo", "size"])
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_hash(gram, size, _FACTORS[0])), pa.array(set_hash(gram, size)), pa.array(size), signatures(gram, size)], names=["doc_id", "hi", "lo", "size", "bits"])
             yield out.filter(pa.array(size > 0))
 
-    return narrow(docs).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, hi bigint, lo bigint, size bigint")
+    return narrow(docs).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, hi bigint, lo bigint, size bigint, bits binary")
 
 
 def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COUNT_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +196,8 @@ def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COU
     return gram[order], times[order]
 
 
-def prefixes(gram: np.ndarray, size: np.ndarray, threshold: float, listed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, n-gram, listed count or 0) of every set's prefix, n-grams ascending within a set."""
+def prefixes(gram: np.ndarray, size: np.ndarray, threshold: float, listed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(set, n-gram, listed count or 0, rank) of every set's prefix, n-grams ascending within a set."""
     common, times = listed
     count = np.zeros(len(gram), np.int64)
     if len(common):
@@ -174,17 +205,18 @@ def prefixes(gram: np.ndarray, size: np.ndarray, threshold: float, listed: tuple
         count = np.where(common[slot] == gram, times[slot], 0)
     owner, rank = ragged(size)
     order = np.lexsort((count, owner))  # stable: by hash within a count
-    keep = np.zeros(len(gram), bool)
-    keep[order[rank < prefix_size(size, threshold)[owner]]] = True
-    return owner[keep], gram[keep], count[keep]
+    place = np.empty(len(gram), np.int64)
+    place[order] = rank
+    keep = place < prefix_size(size, threshold)[owner]
+    return owner[keep], gram[keep], count[keep], place[keep]
 
 
-def split(own: np.ndarray, key: np.ndarray, count: np.ndarray, hi: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(own: np.ndarray, key: np.ndarray, count: np.ndarray, rank: np.ndarray, hi: np.ndarray, tile: int) -> tuple[np.ndarray, ...]:
     """The same with the n-grams of over ``tile`` sets replaced by one key for each two blocks that a set's block is in."""
     blocks = -(-count // tile)
     big = blocks > 1
     if not big.any():
-        return own, key, count
+        return own, key, count, rank
     at = np.flatnonzero(big)
     which, other = ragged(blocks[at])
     at = at[which]
@@ -192,13 +224,16 @@ def split(own: np.ndarray, key: np.ndarray, count: np.ndarray, hi: np.ndarray, t
         mine = (mix(hi[own[at]].view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
         pair = np.minimum(mine, other) * blocks[at] + np.maximum(mine, other)
         new = mix(key[at] + (pair.astype(np.uint64) + np.uint64(1)) * _FACTORS[1])
-    return np.concatenate([own[~big], own[at]]), np.concatenate([key[~big], new]), np.concatenate([count[~big], count[at]])
+    return np.concatenate([own[~big], own[at]]), np.concatenate([key[~big], new]), np.concatenate([count[~big], count[at]]), np.concatenate([rank[~big], rank[at]])
 
 
 def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int) -> DataFrame:
-    """(key, hi, size, p0, p1): every set in each of its tiles, with its proofs; equal sets of a task are one."""
+    """(key, hi, size, ranks, p0, p1): every set in each of its tiles, with its proofs; equal sets of a task are one.
+
+    ``ranks`` has the places of the key and of the proofs in the set's order, 21 bits each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
-    names = ["key", "hi", "size", *(f"p{k}" for k in range(PROOFS))]
+    names = ["key", "hi", "size", "ranks", *(f"p{k}" for k in range(PROOFS))]
 
     def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -213,55 +248,65 @@ def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarra
                     new[k] = True
             kept = new[ragged(size)[0]]
             gram, size, hi = gram[kept], size[new], hi[new]
-            own, key, count = split(*prefixes(gram, size, threshold, shared.value), hi, tile)
+            own, key, count, rank = split(*prefixes(gram, size, threshold, shared.value), hi, tile)
             order = np.lexsort((key, count == 0, own))
             place = ragged(np.bincount(own, minlength=len(size)))[1]
             proof = np.full((len(size), PROOFS), _NEVER)
             few = place < PROOFS
-            proof[own[order[few]], place[few]] = key[order[few]]
-            own, key = own[order], key[order]
+            proof[own[order[few]], place[few]] = np.where(rank[order[few]] < _LAST_RANK, key[order[few]], _NEVER)
+            places = np.zeros(len(size), np.int64)
+            for k in range(PROOFS):
+                at = order[place == k]
+                places[own[at]] |= np.minimum(rank[at], _LAST_RANK) << _RANK_BITS * (k + 1)
+            own, key, ranks = own[order], key[order], np.minimum(rank[order], _LAST_RANK) | places[own[order]]
             for a in range(0, len(own), 1 << 17):
                 o = own[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)].view(np.int64)), pa.array(hi[o]), pa.array(size[o].astype(np.int32)), *(pa.array(proof[o, k].view(np.int64)) for k in range(PROOFS))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)].view(np.int64)), pa.array(hi[o]), pa.array(size[o].astype(np.int32)), pa.array(ranks[a : a + (1 << 17)]), *(pa.array(proof[o, k].view(np.int64)) for k in range(PROOFS))], names=names)
 
     return narrow(docs).where("doc_id is not null").mapInArrow(emit, ", ".join(f"{c} {'int' if c == 'size' else 'bigint'}" for c in names))
 
 
-def tile_pairs(key: np.ndarray, hi: np.ndarray, size: np.ndarray, proof: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(tile, n-grams of its sets, a, b) of the pairs of whole tiles that are in a band and not known to meet earlier."""
+def tile_pairs(key: np.ndarray, hi: np.ndarray, size: np.ndarray, ranks: np.ndarray, proof: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b) of the pairs of whole tiles that are in a band and not known to meet earlier."""
     same = np.concatenate([[False], key[1:] == key[:-1], [False]])
     met = np.flatnonzero(same[1:] | same[:-1])
     if not len(met):
         return
-    key, hi, size, proof = key[met], hi[met], size[met].astype(np.int64), proof[met]
-    order = np.lexsort((hi, size, key))
-    key, hi, size, proof = key[order], hi[order], size[order], proof[order]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1])
-    key, hi, size, proof = key[once], hi[once], size[once], proof[once]
+    met = met[np.lexsort((hi[met], size[met], key[met]))]
+    once = np.ones(len(met), bool)
+    once[1:] = (key[met[1:]] != key[met[:-1]]) | (hi[met[1:]] != hi[met[:-1]])
+    met = met[once]
+    key, hi, size, ranks, proof = key[met], hi[met], size[met].astype(np.int64), ranks[met], proof[met]
     tile = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    grams = np.bincount(tile, size).astype(np.int64)
     # sizes ascend within a tile: the partners of a set are the rows after it up to its band's end
     step = int(size.max()) + 1
     end = np.searchsorted(tile * step + size, tile * step + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), step - 1), side="right")
     partners = end - np.arange(len(key)) - 1
     edge = np.concatenate([[0], np.cumsum(partners)])
+    rank_of = lambda row, k: ranks[row] >> _RANK_BITS * k & _LAST_RANK
     for first in range(0, int(edge[-1]), _PAIRS_AT_ONCE):
         at = np.arange(first, min(first + _PAIRS_AT_ONCE, int(edge[-1])))
         x = np.searchsorted(edge, at, side="right") - 1
         y = x + 1 + at - edge[x]
-        left = np.ones(len(at), bool)
-        for p in range(PROOFS):
-            early = proof[x, p] < key[x]
-            for q in range(PROOFS):
-                left &= ~(early & (proof[x, p] == proof[y, q]))
+        # the places up to which the two orders hold an n-gram of any pair with enough in common
+        need = np.ceil((size[x] + size[y]) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+        within = lambda k: (rank_of(x, k) <= size[x] - need, rank_of(y, k) <= size[y] - need)  # noqa: E731, B023
+        here_x, here_y = within(0)
+        left = np.flatnonzero(here_x & here_y)
+        x, y, need = x[left], y[left], need[left]
+        left = np.ones(len(x), bool)
+        shown = [(within(p + 1), proof[x, p], proof[y, p]) for p in range(PROOFS)]
+        for (in_x, _), mine, _ in shown:
+            early = in_x & (mine < key[x])
+            for (_, in_y), _, other in shown:
+                left &= ~(early & in_y & (mine == other))
         x, y = x[left], y[left]
-        yield key[x].view(np.int64), grams[tile[x]], np.minimum(hi[x], hi[y]), np.maximum(hi[x], hi[y])
+        yield np.minimum(hi[x], hi[y]), np.maximum(hi[x], hi[y])
 
 
-def candidates(keys: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, tile, block_a, block_b), a < b: the pairs of sets that meet in a tile's band, each in one tile."""
-    names = ["tile", "grams", "a", "b"]
+def candidates(keys: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, a_size, b_size), a < b: the pairs of sets that meet in a tile's band and pass the signatures' bound, each once."""
+    names = ["a", "b"]
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple[np.ndarray, ...]] = []  # the rows of the last key so far
@@ -273,8 +318,8 @@ def candidates(keys: DataFrame, threshold: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
         for batch in batches(source):
-            key, hi, size, *proof = (batch.column(k).to_numpy() for k in range(batch.num_columns))
-            rows = (key.view(np.uint64), hi, size, np.stack([p.view(np.uint64) for p in proof], 1))
+            key, hi, size, ranks, *proof = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+            rows = (key.view(np.uint64), hi, size, ranks, np.stack([p.view(np.uint64) for p in proof], 1))
             if open_ and open_[-1][0][-1] != rows[0][0]:
                 yield from close(open_)
                 open_ = []
@@ -287,9 +332,26 @@ def candidates(keys: DataFrame, threshold: float) -> DataFrame:
         yield from close(open_)
 
     pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, ", ".join(f"{c} bigint" for c in names))
-    one = pairs.groupBy("a", "b").agg(F.min(F.struct("tile", "grams")).alias("t"))
-    blocks = F.ceil(F.col("t.grams") / BLOCK_GRAMS)
-    return one.select("a", "b", "t.tile", *(F.pmod(F.xxhash64(c), blocks).alias(f"block_{c}") for c in "ab"))
+    side = lambda c: heads.select(F.col("hi").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits")
+
+    def bound(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = (sizes - differing_bits(batch.column(4), batch.column(5))) / 2
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "a_size", "b_size"]).filter(pa.array(most >= sizes * (threshold / (1 + threshold)) - 1e-9))
+
+    return both.mapInArrow(bound, "a bigint, b bigint, a_size bigint, b_size bigint")
+
+
+def meeting_places(pairs: DataFrame) -> DataFrame:
+    """(a, b, low, high): where each pair is verified, by its sets' leaders and their blocks."""
+    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_size").alias("size")).union(pairs.select("b", "a", "b_size"))
+    led = settle(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("leader"), F.first("size").alias("size")))
+    blocks = led.groupBy("leader").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).alias("blocks"))
+    homes = led.join(blocks, "leader").select("u", F.xxhash64("leader", F.pmod(F.xxhash64("u"), "blocks")).alias("home"))
+    both = pairs.select("a", "b").join(homes.toDF("a", "x"), "a").join(homes.toDF("b", "y"), "b")
+    return both.select("a", "b", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
 
 
 def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,8 +370,9 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def verify(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(hi, near, links): of each set in pairs at or above the threshold its partners, and a member of its group; a row for each tile."""
-    tile = ["tile", "block_a", "block_b"]
+    """(hi, near, links): of each set in pairs at or above the threshold its partners, and a member of its group; a row for each place where pairs meet."""
+    tile = ["low", "high"]
+    pairs = settle(meeting_places(pairs))
     guests = pairs.select(*tile, F.col("a").alias("hi")).union(pairs.select(*tile, F.col("b").alias("hi"))).distinct().groupBy("hi").agg(F.collect_list(F.struct(*tile)).alias("tiles"))
     guests = settle(guests.join(heads, "hi").select(F.col("rep").alias("guest"), "hi", "tiles"))
     few = guests.agg(F.sum(F.size("tiles"))).first()[0] or 0
@@ -322,21 +385,20 @@ def verify(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, threshol
             # an id may have several texts; only the one whose set was asked for goes on
             yield pa.RecordBatch.from_arrays([hi, sets, batch.column(2).slice(i, j - i)], names=["hi", "grams", "tiles"]).filter(pa.array(set_hash(gram, size, _FACTORS[0]) == hi.to_numpy()))
 
-    sent = wanted.mapInArrow(arrays, "hi bigint, grams array<bigint>, tiles array<struct<tile: bigint, block_a: bigint, block_b: bigint>>")
+    sent = wanted.mapInArrow(arrays, "hi bigint, grams array<bigint>, tiles array<struct<low: bigint, high: bigint>>")
     sent = sent.select(F.explode("tiles").alias("t"), "hi", "grams").select("t.*", F.col("hi").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
     asked = pairs.select(*tile, "a", "b", F.lit(None).cast("array<bigint>").alias("grams"))
-    # arrays (b is null) come before the pairs of their tile
+    # arrays (b is null) come before the pairs of their place
     rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a")
 
     def overlap(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, sets = None, {}
         for batch in batches(source):
-            at, a, b = np.stack([batch.column(k).to_numpy() for k in range(3)], 1), batch.column(3).to_numpy(), batch.column(4)
+            at, a, b = np.stack([batch.column(k).to_numpy() for k in range(2)], 1), batch.column(2).to_numpy(), batch.column(3)
             is_pair = np.array(b.is_valid())
             other = b.fill_null(0).to_numpy()
-            arrays_ = batch.column(5).filter(pa.array(~is_pair))
+            arrays_ = batch.column(4).filter(pa.array(~is_pair))
             flat, edge = arrays_.values.to_numpy().view(np.uint64), arrays_.offsets.to_numpy()
-            bits = signatures(flat[edge[0] : edge[-1]], np.diff(edge)) if len(arrays_) else None
             slot = np.cumsum(~is_pair) - 1
             cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1]))]))
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -346,21 +408,14 @@ def verify(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, threshol
                 if not is_pair[i]:
                     for k in range(i, j):
                         s = slot[k]
-                        sets[int(a[k])] = (flat[edge[s] : edge[s + 1]].copy(), bits[s].copy())
+                        sets[int(a[k])] = flat[edge[s] : edge[s + 1]].copy()
                     continue
-                mine, my_bits = sets[int(a[i])]
+                mine = sets[int(a[i])]
                 theirs = [sets[x] for x in other[i:j].tolist()]
-                size = np.array([len(t) for t, _ in theirs])
-                differing = np.bitwise_count(np.stack([x for _, x in theirs]) ^ my_bits).sum(1, dtype=np.int64)
-                both = len(mine) + size
-                maybe = np.flatnonzero((both - differing) / 2 >= both * (threshold / (1 + threshold)) - 1e-9)
-                if not len(maybe):
-                    continue
-                merged = np.concatenate([theirs[k][0] for k in maybe.tolist()])
-                hit = mine[np.minimum(np.searchsorted(mine, merged), len(mine) - 1)] == merged
-                common = segment_sum(hit, size[maybe])
-                good = maybe[common / (both[maybe] - common) >= threshold - 1e-9]
-                found.append((np.full(len(good), a[i]), other[i:j][good]))
+                size, merged = np.array([len(t) for t in theirs]), np.concatenate(theirs)
+                common = segment_sum(mine[np.minimum(np.searchsorted(mine, merged), len(mine) - 1)] == merged, size)
+                good = common / (len(mine) + size - common) >= threshold - 1e-9
+                found.append((np.full(good.sum(), a[i]), other[i:j][good]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in star(*(np.concatenate(x) for x in zip(*found)))], names=["hi", "near", "links"])
 
@@ -375,9 +430,9 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most
     (equal sets are one; a document of several texts has the sum of its sets' links).
     """
     sets = settle(set_table(docs, n))
-    heads = settle(sets.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") < F.max("doc_id")).alias("copied")))
+    heads = settle(sets.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.any_value("bits").alias("bits")))
     keys = tile_keys(docs, n, threshold, listed_grams(docs, n, most, at_once), tile)
-    near = settle(verify(docs, heads, settle(candidates(keys, threshold)), n, threshold))
+    near = settle(verify(docs, heads, settle(candidates(keys, heads, threshold)), n, threshold))
     # the texts of one document are in one class
     own = sets.groupBy("doc_id").agg(F.min("hi").alias("u"), F.max("hi").alias("last")).where("u < last")
     own = sets.join(own, "doc_id").where("hi > u").select("u", F.col("hi").alias("v"))
@@ -386,7 +441,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most
     known = heads.join(roots.withColumnRenamed("node", "hi"), "hi", "left").join(links, "hi", "left").where("copied or root is not null")
     known = settle(known.select("hi", "lo", "size", "rep", "copied", F.coalesce("root", "hi").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     classes = known.groupBy("root").agg(F.min("rep").alias("class_id"), (F.max("copied") | (F.min("rep") < F.max("rep"))).alias("several")).where("several")
-    rows = sets.distinct().join(known.join(classes, "root"), ["hi", "lo", "size"])
+    rows = sets.select("doc_id", "hi", "lo", "size").distinct().join(known.join(classes, "root"), ["hi", "lo", "size"])
     return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
