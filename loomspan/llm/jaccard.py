@@ -19,7 +19,8 @@ n-gram comes later in either set is none of the pair's. Of its tiles the first c
 prefix n-grams travel with each set, and a pair that both show to meet earlier is left to
 that tile; what is left is made unique.
 
-Signatures and verification. A set's signature has two bits or more for each n-gram, and in
+Keys travel packed: a row has some thousands of sets and the sorted keys of one part, as
+differences. Signatures and verification. A set's signature has two bits or more for each n-gram, and in
 each bit the parity of the n-grams hashed to it; the longer one of a pair is folded to the
 length of the other. Half of (sizes less differing bits) is an upper bound of the overlap;
 pairs whose bound reaches what the threshold needs go on. A pair is verified where its sets' leaders meet (a set's leader is the smallest
@@ -39,6 +40,7 @@ Defined results
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +57,11 @@ THRESHOLD = 0.6
 LISTED = 1 << 18
 #: N-grams that are counted together before the shuffle.
 COUNT_AT_ONCE = 1 << 21
+#: Bits of a prefix n-gram that make a tile's key; two n-grams with equal bits share a tile, which only costs time.
+KEY_BITS = 40
+#: Keys that a task packs together, and keys in a part of the join.
+KEYS_AT_ONCE = 1 << 20
+PART_KEYS = 1 << 21
 #: Sets of one tile; a tile of more is split into blocks.
 TILE = 1 << 14
 #: N-grams of the sets with one leader in a block of the verification.
@@ -65,8 +72,6 @@ PROOFS = 2
 BROADCAST_ROWS = 500_000
 _PAIRS_AT_ONCE = 1 << 18
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
-_NEVER = np.uint64((1 << 64) - 1)
-_RANK_BITS, _LAST_RANK = 21, (1 << 21) - 1
 
 
 def ngram_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -105,38 +110,17 @@ def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def signatures(gram: np.ndarray, size: np.ndarray) -> pa.Array:
-    """A bitmap per set, of a power of two of bytes with two bits or more an n-gram: the parity of the n-grams of each bit."""
+    """The size (eight bytes) and a bitmap per set, of a power of two of bytes with two bits or more an n-gram: the parity of the n-grams of each bit."""
     n_bytes = 8 << np.maximum(0, np.frexp((size / 32).astype(np.float64))[1])
     owner = ragged(size)[0]
-    base = np.concatenate([[0], np.cumsum(n_bytes)])
-    bit = base[:-1][owner] * 8 + ((gram >> np.uint64(17)).astype(np.int64) & (n_bytes[owner] * 8 - 1))
+    base = np.concatenate([[0], np.cumsum(n_bytes + 8)])
+    bit = base[:-1][owner] * 8 + 64 + ((gram >> np.uint64(17)).astype(np.int64) & (n_bytes[owner] * 8 - 1))
     parity = (np.bincount(bit, minlength=int(base[-1]) * 8) & 1).astype(np.uint8)
     data = np.packbits(parity, bitorder="little")
+    data[base[:-1][:, None] + np.arange(8)] = size.astype("<u8").view(np.uint8).reshape(-1, 8)
     return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(base.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def differing_bits(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """How many bits of the two signatures of each row differ, at the length of the shorter one."""
-    sides = []
-    for x in (a, b):
-        _, edge, data = x.buffers()
-        edge = np.frombuffer(edge, np.int32, len(x) + 1, x.offset * 4).astype(np.int64)
-        sides.append((edge[:-1], np.diff(edge), np.frombuffer(data, np.uint8)))
-    out = np.zeros(len(a), np.int64)
-    length = np.stack([s[1] for s in sides], 1)
-    for pair in np.unique(length, axis=0):
-        rows = np.flatnonzero((length == pair).all(1))
-        bits = []
-        for (start, _, data), n in zip(sides, pair.tolist()):
-            x = data[start[rows][:, None] + np.arange(n)]
-            while n > pair.min():
-                n //= 2
-                x = x[:, :n] ^ x[:, n:]
-            bits.append(x)
-        out[rows] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
-    return out
-
-
 def _grams(source: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
     """(batch, first row, row past the last, n-grams, set sizes) of slices of the batches; text is column 1."""
     for batch in batches(source):
@@ -227,16 +211,54 @@ def split(own: np.ndarray, key: np.ndarray, count: np.ndarray, rank: np.ndarray,
     return np.concatenate([own[~big], own[at]]), np.concatenate([key[~big], new]), np.concatenate([count[~big], count[at]]), np.concatenate([rank[~big], rank[at]])
 
 
-def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int) -> DataFrame:
-    """(key, hi, size, ranks, p0, p1): every set in each of its tiles, with its proofs; equal sets of a task are one.
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 on, packed: their bytes by place, those in use, compressed."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return struct.pack("<IB", len(x), width) + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<IB", data)
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        raw = pa.Codec("zstd").decompress(data[5:], decompressed_size=n * width, asbytes=True)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int, parts: int) -> DataFrame:
+    """(part, keys, who, ranks, hi, size, proofs): every set in each of its tiles, packed; equal sets of a task are one.
 
-    ``ranks`` has the places of the key and of the proofs in the set's order, 21 bits each.
+    A key is a prefix n-gram cut to KEY_BITS bits; ``parts`` equal ranges of keys are the
+    parts. A row has the keys of one part and of some thousands of documents, in order, with the
+    place in its list of sets (hi, size, proofs and their ranks) and the rank in the set's order of each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
-    names = ["key", "hi", "size", "ranks", *(f"p{k}" for k in range(PROOFS))]
+    bounds = (np.arange(parts + 1, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
+    names = ["part", "keys", "who", "ranks", "hi", "size", "proofs"]
 
     def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> pa.RecordBatch:
+            first = np.cumsum([0, *(len(h[3]) for h in held)])
+            own = np.concatenate([h[0] + f for h, f in zip(held, first)])
+            key, rank, hi, size, proof = (np.concatenate([h[k] for h in held]) for k in range(1, 6))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            own, key, rank = own[order], key[order], rank[order]
+            cut = np.searchsorted(key, bounds)
+            rows = []
+            for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                if a < b:
+                    who, at = np.unique(own[a:b], return_inverse=True)
+                    packed = (np.diff(key[a:b], prepend=bounds[k]), at, rank[a:b], hi[who].view(np.uint64), size[who], proof[who].reshape(-1))
+                    rows.append((k, *map(squeeze, packed)))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
+
         for _, _, _, gram, size in _grams(source, n):
             if len(seen) > 1 << 20:  # only spares work
                 seen.clear()
@@ -249,111 +271,169 @@ def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarra
             kept = new[ragged(size)[0]]
             gram, size, hi = gram[kept], size[new], hi[new]
             own, key, count, rank = split(*prefixes(gram, size, threshold, shared.value), hi, tile)
+            key = key >> np.uint64(64 - KEY_BITS)
             order = np.lexsort((key, count == 0, own))
             place = ragged(np.bincount(own, minlength=len(size)))[1]
-            proof = np.full((len(size), PROOFS), _NEVER)
-            few = place < PROOFS
-            proof[own[order[few]], place[few]] = np.where(rank[order[few]] < _LAST_RANK, key[order[few]], _NEVER)
-            places = np.zeros(len(size), np.int64)
+            # (key, rank) of each set's proofs; a key past all keys where there is none
+            proof = np.full((len(size), 2 * PROOFS), 1 << KEY_BITS, np.uint64)
             for k in range(PROOFS):
                 at = order[place == k]
-                places[own[at]] |= np.minimum(rank[at], _LAST_RANK) << _RANK_BITS * (k + 1)
-            own, key, ranks = own[order], key[order], np.minimum(rank[order], _LAST_RANK) | places[own[order]]
-            for a in range(0, len(own), 1 << 17):
-                o = own[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)].view(np.int64)), pa.array(hi[o]), pa.array(size[o].astype(np.int32)), pa.array(ranks[a : a + (1 << 17)]), *(pa.array(proof[o, k].view(np.int64)) for k in range(PROOFS))], names=names)
+                proof[own[at], 2 * k], proof[own[at], 2 * k + 1] = key[at], rank[at]
+            held.append((own, key, rank, hi, size, proof))
+            if sum(len(h[0]) for h in held) >= KEYS_AT_ONCE:
+                yield send()
+        if held and any(len(h[0]) for h in held):
+            yield send()
 
-    return narrow(docs).where("doc_id is not null").mapInArrow(emit, ", ".join(f"{c} {'int' if c == 'size' else 'bigint'}" for c in names))
+    return narrow(docs).where("doc_id is not null").mapInArrow(emit, "part int, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
-def tile_pairs(key: np.ndarray, hi: np.ndarray, size: np.ndarray, ranks: np.ndarray, proof: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b) of the pairs of whole tiles that are in a band and not known to meet earlier."""
+def tile_pairs(key: np.ndarray, who: np.ndarray, rank: np.ndarray, hi: np.ndarray, size: np.ndarray, proof: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b) of the pairs of whole tiles that are in a band and not known to meet earlier; ``who`` is a place in hi, size and proof."""
+    order = np.argsort(key, kind="stable")
+    key, who, rank = key[order], who[order], rank[order]
     same = np.concatenate([[False], key[1:] == key[:-1], [False]])
     met = np.flatnonzero(same[1:] | same[:-1])
     if not len(met):
         return
-    met = met[np.lexsort((hi[met], size[met], key[met]))]
+    met = met[np.lexsort((hi[who[met]], size[who[met]], key[met]))]
+    own = hi[who[met]]
     once = np.ones(len(met), bool)
-    once[1:] = (key[met[1:]] != key[met[:-1]]) | (hi[met[1:]] != hi[met[:-1]])
+    once[1:] = (key[met[1:]] != key[met[:-1]]) | (own[1:] != own[:-1])
     met = met[once]
-    key, hi, size, ranks, proof = key[met], hi[met], size[met].astype(np.int64), ranks[met], proof[met]
+    key, who, rank = key[met], who[met], rank[met].astype(np.int64)
+    hi, size, proof = hi[who], size[who].astype(np.int64), proof[who]
+    early, ranks = proof[:, 0::2], proof[:, 1::2].astype(np.int64)
     tile = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     # sizes ascend within a tile: the partners of a set are the rows after it up to its band's end
     step = int(size.max()) + 1
     end = np.searchsorted(tile * step + size, tile * step + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), step - 1), side="right")
     partners = end - np.arange(len(key)) - 1
     edge = np.concatenate([[0], np.cumsum(partners)])
-    rank_of = lambda row, k: ranks[row] >> _RANK_BITS * k & _LAST_RANK
     for first in range(0, int(edge[-1]), _PAIRS_AT_ONCE):
         at = np.arange(first, min(first + _PAIRS_AT_ONCE, int(edge[-1])))
         x = np.searchsorted(edge, at, side="right") - 1
         y = x + 1 + at - edge[x]
         # the places up to which the two orders hold an n-gram of any pair with enough in common
         need = np.ceil((size[x] + size[y]) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
-        within = lambda k: (rank_of(x, k) <= size[x] - need, rank_of(y, k) <= size[y] - need)  # noqa: E731, B023
-        here_x, here_y = within(0)
-        left = np.flatnonzero(here_x & here_y)
+        left = np.flatnonzero((rank[x] <= size[x] - need) & (rank[y] <= size[y] - need))
         x, y, need = x[left], y[left], need[left]
         left = np.ones(len(x), bool)
-        shown = [(within(p + 1), proof[x, p], proof[y, p]) for p in range(PROOFS)]
-        for (in_x, _), mine, _ in shown:
-            early = in_x & (mine < key[x])
-            for (_, in_y), _, other in shown:
-                left &= ~(early & in_y & (mine == other))
+        for p in range(PROOFS):
+            mine = early[x, p]
+            shown = (mine < key[x]) & (ranks[x, p] <= size[x] - need)
+            for q in range(PROOFS):
+                left &= ~(shown & (mine == early[y, q]) & (ranks[y, q] <= size[y] - need))
         x, y = x[left], y[left]
         yield np.minimum(hi[x], hi[y]), np.maximum(hi[x], hi[y])
 
 
-def candidates(keys: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, a_size, b_size), a < b: the pairs of sets that meet in a tile's band and pass the signatures' bound, each once."""
-    names = ["a", "b"]
+def candidates(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the pairs of sets that meet in a tile's band, each once."""
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[tuple[np.ndarray, ...]] = []  # the rows of the last key so far
+        open_, held = None, []  # a part's rows so far
 
-        def close(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                for found in tile_pairs(*(np.concatenate(x) for x in zip(*parts)), threshold):
-                    if len(found[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+        def close() -> Iterator[pa.RecordBatch]:
+            first = np.cumsum([0, *(len(h[3]) for h in held)])
+            who = np.concatenate([h[1].astype(np.int64) + f for h, f in zip(held, first)])
+            key, rank, hi, size = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3, 4))
+            proof = np.concatenate([h[5] for h in held]).reshape(-1, 2 * PROOFS)
+            held.clear()
+            for found in tile_pairs(key, who, rank, hi.view(np.int64), size, proof, threshold):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
         for batch in batches(source):
-            key, hi, size, ranks, *proof = (batch.column(k).to_numpy() for k in range(batch.num_columns))
-            rows = (key.view(np.uint64), hi, size, ranks, np.stack([p.view(np.uint64) for p in proof], 1))
-            if open_ and open_[-1][0][-1] != rows[0][0]:
-                yield from close(open_)
-                open_ = []
-            whole = np.flatnonzero(rows[0] != rows[0][-1])
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            if cut:
-                yield from close([*open_, tuple(x[:cut] for x in rows)])
-                open_ = []
-            open_.append(tuple(x[cut:].copy() for x in rows))
-        yield from close(open_)
-
-    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, ", ".join(f"{c} bigint" for c in names))
-    side = lambda c: heads.select(F.col("hi").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits")
-
-    def bound(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            most = (sizes - differing_bits(batch.column(4), batch.column(5))) / 2
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "a_size", "b_size"]).filter(pa.array(most >= sizes * (threshold / (1 + threshold)) - 1e-9))
+            for row in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                if held and row[0] != open_:
+                    yield from close()
+                open_ = row[0]
+                step, *rest = (unsqueeze(x.as_py()) for x in row[1:])
+                held.append((np.cumsum(step, dtype=np.uint64), *rest))  # from the start of the part's range
+        if held:
+            yield from close()
 
-    return both.mapInArrow(bound, "a bigint, b bigint, a_size bigint, b_size bigint")
+    return keys.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def meeting_places(pairs: DataFrame) -> DataFrame:
-    """(a, b, low, high): where each pair is verified, by its sets' leaders and their blocks."""
-    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_size").alias("size")).union(pairs.select("b", "a", "b_size"))
-    led = settle(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("leader"), F.first("size").alias("size")))
+def meeting_places(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b, low, high): where each pair is looked at, by its sets' leaders and their blocks."""
+    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
+    led = settle(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("leader")).join(heads.select(F.col("hi").alias("u"), "size"), "u"))
     blocks = led.groupBy("leader").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).alias("blocks"))
     homes = led.join(blocks, "leader").select("u", F.xxhash64("leader", F.pmod(F.xxhash64("u"), "blocks")).alias("home"))
-    both = pairs.select("a", "b").join(homes.toDF("a", "x"), "a").join(homes.toDF("b", "y"), "b")
+    both = pairs.join(homes.toDF("a", "x"), "a").join(homes.toDF("b", "y"), "b")
     return both.select("a", "b", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
 
 
+def visits(pairs: DataFrame) -> DataFrame:
+    """(hi, low, high): the places that each set in pairs has to be at."""
+    return pairs.select(F.col("a").alias("hi"), "low", "high").union(pairs.select("b", "low", "high")).distinct()
+
+
+def at_places(sets: DataFrame, pairs: DataFrame, kind: str, compare, schema: str, answer) -> DataFrame:
+    """Each place's sets (low, high, hi, what) and pairs brought together.
+
+    ``compare(mine, others)`` tells which of a set's partners hold, ``answer(low, high, a, b)`` makes the rows of those pairs.
+    """
+    sent = sets.select("low", "high", F.col("hi").alias("a"), F.lit(None).cast("bigint").alias("b"), "what")
+    asked = pairs.select("low", "high", "a", "b", F.lit(None).cast(kind).alias("what"))
+    # sets (b is null) come before the pairs of their place
+    rows = sent.union(asked).repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").isNotNull(), "a")
+
+    def look(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, {}
+        for batch in batches(source):
+            at, a, b = np.stack([batch.column(k).to_numpy() for k in range(2)], 1), batch.column(2).to_numpy(), batch.column(3)
+            is_pair = np.array(b.is_valid())
+            other = b.fill_null(0).to_numpy()
+            what, slot = batch.column(4).filter(pa.array(~is_pair)), np.cumsum(~is_pair) - 1
+            offsets = np.frombuffer(what.buffers()[1], np.int32, len(what) + 1, what.offset * 4) if len(what) else np.zeros(1, np.int32)
+            flat = what.values.to_numpy().view(np.uint64) if kind != "binary" else np.frombuffer(what.buffers()[2], np.uint8) if len(what) else np.empty(0, np.uint8)
+            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1]))]))
+            found: list[tuple[np.ndarray, ...]] = []
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+                if tuple(at[i]) != here:
+                    here, known = tuple(at[i]), {}
+                if is_pair[i]:
+                    good = compare(known[int(a[i])], [known[x] for x in other[i:j].tolist()])
+                    found.append((np.broadcast_to(at[i], (int(good.sum()), 2)), np.full(good.sum(), a[i]), other[i:j][good]))
+                else:
+                    for k in range(i, j):
+                        known[int(a[k])] = flat[offsets[slot[k]] : offsets[slot[k] + 1]].copy()
+            if found:
+                place, x, y = (np.concatenate(f) for f in zip(*found))
+                yield answer(place[:, 0], place[:, 1], x, y)
+
+    return rows.mapInArrow(look, schema)
+
+
+def bounded(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, low, high) whose signatures allow for enough in common."""
+
+    def compare(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        size = np.array([int(x[:8].view("<u8")[0]) for x in others])
+        both = int(mine[:8].view("<u8")[0]) + size
+        differing = np.empty(len(others), np.int64)
+        length = np.array([len(x) - 8 for x in others])
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            x, y = mine[None, 8:], np.stack([others[k][8:] for k in at.tolist()])
+            while x.shape[1] != y.shape[1]:  # the longer one is folded
+                z = x if x.shape[1] > y.shape[1] else y
+                z = z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :]
+                x, y = (z, y) if x.shape[1] > y.shape[1] else (x, z)
+            differing[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        return (both - differing) / 2 >= both * (threshold / (1 + threshold)) - 1e-9
+
+    def answer(low, high, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, low, high)], names=["a", "b", "low", "high"])
+
+    sets = visits(pairs).join(heads.select("hi", F.col("bits").alias("what")), "hi")
+    return at_places(sets, pairs, "binary", compare, "a bigint, b bigint, low bigint, high bigint", answer)
+
+
 def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, smallest node that the pairs connect it with, its pairs) of the nodes in pairs."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -371,55 +451,30 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def verify(docs: DataFrame, heads: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(hi, near, links): of each set in pairs at or above the threshold its partners, and a member of its group; a row for each place where pairs meet."""
-    tile = ["low", "high"]
-    pairs = settle(meeting_places(pairs))
-    guests = pairs.select(*tile, F.col("a").alias("hi")).union(pairs.select(*tile, F.col("b").alias("hi"))).distinct().groupBy("hi").agg(F.collect_list(F.struct(*tile)).alias("tiles"))
-    guests = settle(guests.join(heads, "hi").select(F.col("rep").alias("guest"), "hi", "tiles"))
-    few = guests.agg(F.sum(F.size("tiles"))).first()[0] or 0
-    wanted = narrow(docs).join(F.broadcast(guests) if few <= BROADCAST_ROWS else guests, F.col("doc_id") == F.col("guest")).select("hi", "text", "tiles")
+    guests = visits(pairs).groupBy("hi").agg(F.collect_list(F.struct("low", "high")).alias("places"))
+    guests = settle(guests.join(heads, "hi").select(F.col("rep").alias("guest"), "hi", "places"))
+    few = guests.agg(F.sum(F.size("places"))).first()[0] or 0
+    wanted = narrow(docs).join(F.broadcast(guests) if few <= BROADCAST_ROWS else guests, F.col("doc_id") == F.col("guest")).select("hi", "text", "places")
 
     def arrays(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, j, gram, size in _grams(source, n):
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(gram.view(np.int64)))
             hi = batch.column(0).slice(i, j - i)
             # an id may have several texts; only the one whose set was asked for goes on
-            yield pa.RecordBatch.from_arrays([hi, sets, batch.column(2).slice(i, j - i)], names=["hi", "grams", "tiles"]).filter(pa.array(set_hash(gram, size, _FACTORS[0]) == hi.to_numpy()))
+            yield pa.RecordBatch.from_arrays([hi, sets, batch.column(2).slice(i, j - i)], names=["hi", "grams", "places"]).filter(pa.array(set_hash(gram, size, _FACTORS[0]) == hi.to_numpy()))
 
-    sent = wanted.mapInArrow(arrays, "hi bigint, grams array<bigint>, tiles array<struct<low: bigint, high: bigint>>")
-    sent = sent.select(F.explode("tiles").alias("t"), "hi", "grams").select("t.*", F.col("hi").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    asked = pairs.select(*tile, "a", "b", F.lit(None).cast("array<bigint>").alias("grams"))
-    # arrays (b is null) come before the pairs of their place
-    rows = sent.union(asked).repartition(*tile).sortWithinPartitions(*tile, F.col("b").isNotNull(), "a")
+    sent = wanted.mapInArrow(arrays, "hi bigint, grams array<bigint>, places array<struct<low: bigint, high: bigint>>")
+    sets = sent.select(F.explode("places").alias("p"), "hi", F.col("grams").alias("what")).select("p.*", "hi", "what")
 
-    def overlap(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, sets = None, {}
-        for batch in batches(source):
-            at, a, b = np.stack([batch.column(k).to_numpy() for k in range(2)], 1), batch.column(2).to_numpy(), batch.column(3)
-            is_pair = np.array(b.is_valid())
-            other = b.fill_null(0).to_numpy()
-            arrays_ = batch.column(4).filter(pa.array(~is_pair))
-            flat, edge = arrays_.values.to_numpy().view(np.uint64), arrays_.offsets.to_numpy()
-            slot = np.cumsum(~is_pair) - 1
-            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1]))]))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
-                if tuple(at[i]) != here:
-                    here, sets = tuple(at[i]), {}
-                if not is_pair[i]:
-                    for k in range(i, j):
-                        s = slot[k]
-                        sets[int(a[k])] = flat[edge[s] : edge[s + 1]].copy()
-                    continue
-                mine = sets[int(a[i])]
-                theirs = [sets[x] for x in other[i:j].tolist()]
-                size, merged = np.array([len(t) for t in theirs]), np.concatenate(theirs)
-                common = segment_sum(mine[np.minimum(np.searchsorted(mine, merged), len(mine) - 1)] == merged, size)
-                good = common / (len(mine) + size - common) >= threshold - 1e-9
-                found.append((np.full(good.sum(), a[i]), other[i:j][good]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in star(*(np.concatenate(x) for x in zip(*found)))], names=["hi", "near", "links"])
+    def compare(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        size, merged = np.array([len(x) for x in others]), np.concatenate(others)
+        common = segment_sum(mine[np.minimum(np.searchsorted(mine, merged), len(mine) - 1)] == merged, size)
+        return common / (len(mine) + size - common) >= threshold - 1e-9
+
+    def answer(low, high, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in star(a, b)], names=["hi", "near", "links"])
 
-    return rows.mapInArrow(overlap, "hi bigint, near bigint, links bigint")
+    return at_places(sets, pairs, "array<bigint>", compare, "hi bigint, near bigint, links bigint", answer)
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = LISTED, at_once: int = COUNT_AT_ONCE, tile: int = TILE) -> DataFrame:
@@ -431,8 +486,10 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most
     """
     sets = settle(set_table(docs, n))
     heads = settle(sets.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.any_value("bits").alias("bits")))
-    keys = tile_keys(docs, n, threshold, listed_grams(docs, n, most, at_once), tile)
-    near = settle(verify(docs, heads, settle(candidates(keys, heads, threshold)), n, threshold))
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    keys = tile_keys(docs, n, threshold, listed_grams(docs, n, most, at_once), tile, max(1, -(-int((1 - threshold) * total) // PART_KEYS)))
+    places = settle(meeting_places(settle(candidates(keys, threshold)), heads))
+    near = settle(verify(docs, heads, settle(bounded(places, heads, threshold)), n, threshold))
     # the texts of one document are in one class
     own = sets.groupBy("doc_id").agg(F.min("hi").alias("u"), F.max("hi").alias("last")).where("u < last")
     own = sets.join(own, "doc_id").where("hi > u").select("u", F.col("hi").alias("v"))
