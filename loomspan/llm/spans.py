@@ -5,7 +5,7 @@ break, or with the text. From every sentence starts one span: the shortest run o
 least two sentences with at least twenty words. With ``ends`` a second span, the shortest
 such run, ends at every sentence: a repeated run of several sentences is covered by the
 spans that start or end in it, so that its last sentences go too. All spans of all documents are joined
-by their hash; the first (by id, then by place) stays, and every sentence that any
+by two hashes of 64 bits (a task sends one row of a span on, the others are known to be repeats); the first (by id, then by place) stays, and every sentence that any
 other one covers is removed. The words of what stays are joined by single blanks and
 its sentences by line breaks; a document without a repeated span is left as it is.
 
@@ -13,11 +13,12 @@ Defined results
   null, empty or one-sentence text: no span, unchanged; null doc_id: unchanged, its spans don't count;
   rows repeated with the same id: one document, so none of them loses a sentence to the other;
   a span repeated within a document: its later places are removed; long texts: all their spans;
-  ties: none, (id, place) orders all; an empty table: no rows; extra columns: kept by ``deduplicated``.
+  ties: none, (id, place) orders all; an empty table: no rows; extra columns: kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._text import INVERSE, MULTIPLIER, batches, mix, narrow, powers, prefix_hash, ragged, slices, span_hash, text_buffer, words
+from loomspan.llm._text import INVERSE, MULTIPLIER, batches, bound_batches, mix, narrow, powers, prefix_hash, ragged, slices, span_hash, text_buffer, words
 
 SENTENCES = 2
 WORDS = 20
+#: Spans that a task compares before it sends them on.
+AT_ONCE = 1 << 20
+_OTHER = np.uint64(0xA0761D6478BD642F)
+_OTHER_INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -51,14 +56,15 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def spans(buf: np.ndarray, off: np.ndarray, ends: bool = False) -> tuple[np.ndarray, ...]:
-    """(hash, document, first sentence, sentences) of every span."""
+    """(hash, another, document, first sentence, sentences) of every span."""
     start, end, first, past, per = sentences(buf, off)
     if not len(first):
         z = np.empty(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     h = span_hash(prefix_hash(buf), start, end)
     with np.errstate(over="ignore"):
         whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(MULTIPLIER, len(h)))])
+        again = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + _OTHER) * powers(_OTHER, len(h)))])
     doc, place = ragged(per)
     limit = np.cumsum(per)[doc]
     i = np.arange(len(first))
@@ -76,31 +82,54 @@ def spans(buf: np.ndarray, off: np.ndarray, ends: bool = False) -> tuple[np.ndar
     a, b = first[i], past[j]
     with np.errstate(over="ignore"):
         code = mix((whole[b] - whole[a]) * powers(INVERSE, len(whole))[a] + (b - a).astype(np.uint64))
-    return code.view(np.int64), doc, place, j - i + 1
+        other = mix((again[b] - again[a]) * powers(_OTHER_INVERSE, len(again))[a] + (b - a).astype(np.uint64))
+    return code.view(np.int64), other.view(np.int64), doc, place, j - i + 1
 
 
 def span_table(docs: DataFrame, ends: bool = False) -> DataFrame:
-    """(span, doc_id, place, n) of every span of every row with an id."""
+    """(span, other, doc_id, place, n, later) of every span of every row with an id; ``later``: not the first in its task."""
+    names = ["span", "other", "doc_id", "place", "n", "later"]
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+            rows = [x[order] for x in rows]
+            later = np.zeros(len(order), bool)
+            # rows repeated with an id are one place
+            later[1:] = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+            same = np.zeros(len(order), bool)
+            same[1:] = later[1:] & (rows[2][1:] == rows[2][:-1]) & (rows[3][1:] == rows[3][:-1])
+            rows, later = [x[~same] for x in rows], later[~same]
+            for i in range(0, len(later), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (*rows, later)], names=names)
+
         for batch in batches(source):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = text_buffer(batch.column(1))
             for i, j in slices(off):
-                code, doc, place, n = spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], ends)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ids[i:j][doc]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], names=["span", "doc_id", "place", "n"])
+                code, other, doc, place, n = spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], ends)
+                held.append((code, other, ids[i:j][doc], place.astype(np.int32), n.astype(np.int32)))
+                if sum(len(x[0]) for x in held) >= AT_ONCE:
+                    yield from send()
+        if held:
+            yield from send()
 
-    return narrow(docs).where("doc_id is not null").mapInArrow(find, "span bigint, doc_id bigint, place int, n int")
+    return narrow(docs).where("doc_id is not null").mapInArrow(find, "span bigint, other bigint, doc_id bigint, place int, n int, later boolean")
 
 
 def repeated(docs: DataFrame, ends: bool = False) -> DataFrame:
     """(doc_id, cuts): the spans (place, n) of each document that are not the first of their kind.
 
-    One shuffle by the span's hash (28 bytes a sentence, up to twice that with ``ends``); a rank needs no more memory for
-    a span that millions of documents share, as the window spills.
+    One shuffle by the span's hashes. A span that a third of all documents share has one row
+    a task to be ranked; the rows known to be repeats go to partitions of their own.
     """
-    order = Window.partitionBy("span").orderBy("doc_id", "place")
-    later = span_table(docs, ends).withColumn("nth", F.rank().over(order)).where("nth > 1")
+    own = F.when(F.col("later"), F.xxhash64("doc_id", "place").bitwiseOR(1)).otherwise(0)
+    order = Window.partitionBy("span", "other", "own").orderBy("doc_id", "place")
+    later = span_table(docs, ends).withColumn("own", own).withColumn("nth", F.rank().over(order)).where("later or nth > 1")
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("cuts"))
 
 
@@ -134,10 +163,11 @@ def substring_dedup(docs: DataFrame, ends: bool = False) -> DataFrame:
 
 def deduplicated(docs: DataFrame, ends: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with repeated spans removed from their texts."""
-    cut = repeated(docs, ends).select(F.col("doc_id").alias("__cut_id"), F.col("cuts").alias("__cuts"))
-    rows = docs.join(cut, docs["doc_id"] == cut["__cut_id"], "left")
-    clean = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(_cut("text", "__cuts")["text"])
-    return rows.select(*[clean.alias("text") if c == "text" else rows[c] for c in docs.columns])
+    tag = f"__{uuid.uuid4().hex}"  # no column of docs has this name
+    cut = repeated(docs, ends).select(F.col("doc_id").alias(f"{tag}_id"), F.col("cuts").alias(tag))
+    rows = bound_batches(docs).join(cut, docs["doc_id"] == cut[f"{tag}_id"], "left")
+    clean = F.when(F.col(tag).isNull(), docs["text"]).otherwise(_cut(docs["text"], F.col(tag))["text"])
+    return rows.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def dedup_sql(ends: bool = False) -> str:

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from loomspan.llm import token_ids
+from loomspan.llm import decontaminate, token_ids
 from loomspan.llm.vocab import BYTE_VOCABULARY, read_ranks
 
 
@@ -30,3 +30,12 @@ def test_long_texts_pack_and_unpack(spark, machine, text):
     row = token_ids.token_ids(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert time.time() - began < 40
     assert machine.decode(token_ids.unpack(bytes(row.payload), row.block_starts).tolist()) == text
+
+
+@pytest.mark.parametrize("text,item", [("a" * 1_000_000, "a" * 150), ("ab" * 300_000 + "x", "ab" * 60 + "x" + "ab" * 20), ("a" * 400_000, "b" + "a" * 100)])
+def test_one_repeated_gram_in_text_and_item(spark, text, item):
+    began = time.time()
+    docs = spark.createDataFrame([(1, text), (2, item[:50])], "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert [(r.doc_id, r.item_id, r.edits) for r in rows] == [(1, 7, decontaminate.brute_distance(item.encode(), text[-5000:].encode()))]

@@ -125,7 +125,7 @@ def test_decontaminate(spark, docs, odd, none):
         for i, x in items:
             n = len(x.encode())
             e = decontaminate.brute_distance(x.encode(), (t or "").encode())
-            if n >= decontaminate.LEAST_ITEM and e <= decontaminate.edit_budget(n):
+            if n and e <= decontaminate.edit_budget(n):
                 want[d, i] = e
     assert got == want and (90001, items[0][0]) in got and (90002, items[0][0]) in got and (90003, items[0][0]) not in got
     clean = decontaminate.keep_clean(odd, bench)
@@ -133,8 +133,12 @@ def test_decontaminate(spark, docs, odd, none):
     no_items = bench.limit(0)
     assert decontaminate.contamination(odd, no_items).count() == 0 and decontaminate.keep_clean(odd, no_items).count() == len(TEXTS)
     assert decontaminate.contamination(none, bench).count() == 0
-    null_items = spark.createDataFrame([(1, None), (2, "short")], "item_id long, text string")
+    null_items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     assert decontaminate.contamination(odd, null_items).count() == 0
+    brief = [(1, "e"), (2, "fox"), (3, "FOX"), (4, "zzz"), (5, "quick b"), (6, "n ü"), (7, "lazy dog"), (8, "the lazy cog near th")]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contamination(odd, spark.createDataFrame(brief, "item_id long, text string")).collect()}
+    distance = lambda x, t: decontaminate.brute_distance(x.encode(), (t or "").encode())
+    assert got == {(d, i, distance(x, t)) for d, t in TEXTS for i, x in brief if distance(x, t) <= decontaminate.edit_budget(len(x.encode()))} and (1, 8, 1) in got
 
 
 def brute_entropy(text, members, window=secrets.WINDOW):

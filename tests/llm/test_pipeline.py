@@ -33,7 +33,6 @@ def test_whole_run(spark, small):
         root[max(x, y)] = min(x, y)
     rows = {i: r for i, r in rows.items() if find(i) == i}
     items = [r.text.encode() for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    items = [x for x in items if len(x) >= decontaminate.LEAST_ITEM]
     rows = {i: r for i, r in rows.items() if not any(decontaminate.brute_distance(x, r.text.encode()) <= decontaminate.edit_budget(len(x)) for x in items)}
     frame = spark.createDataFrame(list(rows.values()), docs.schema).toPandas()  # noqa: F841
     kept = {r[0] for r in duckdb.sql(mixing.mixing_sql("frame", "doc_id")).fetchall()}
