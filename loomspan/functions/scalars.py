@@ -179,3 +179,74 @@ def fnv1a(text: Column) -> Column:
     h = F.hex(F.encode(text, "UTF-8"))
     codes = F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("bigint"))
     return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda s, c: (s.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def newton(x: Sequence[float], y: Sequence[float]) -> tuple[list[float], list[float]]:
+    """(nodes, divided differences) of the polynomial through the points; exact in rationals."""
+    table = [Fraction(v) for v in y]
+    nodes = [Fraction(v) for v in x]
+    for k in range(1, len(table)):
+        for i in range(len(table) - 1, k - 1, -1):
+            table[i] = (table[i] - table[i - 1]) / (nodes[i] - nodes[i - k])
+    return [float(v) for v in nodes], [float(v) for v in table]
+
+
+def newton_value(x: Column, nodes: Sequence[float], differences: Sequence[float]) -> Column:
+    """The Newton form at x, by nested products."""
+    out = F.lit(float(differences[-1]))
+    for n, c in zip(reversed(nodes[: len(differences) - 1]), reversed(differences[:-1])):
+        out = out * (x - F.lit(float(n))) + F.lit(float(c))
+    return out
+
+
+def fit_spline(x: Sequence[float], y: Sequence[float], slopes: Sequence[float] | None = None) -> tuple[list[float], list[list[float]]]:
+    """(knots, cubic pieces) through the points with continuous slopes; unless given, a slope is that of the parabola through a point and its neighbours."""
+    pts = sorted(zip(x, y))
+    x, y = [p[0] for p in pts], [p[1] for p in pts]
+    if slopes is None:
+        slopes = [local_slope(x, y, i) for i in range(len(x))]
+    return list(x[:-1]), [interpolate([a, b], [fa, fb], {0: s, 1: t}) for a, b, fa, fb, s, t in zip(x, x[1:], y, y[1:], slopes, slopes[1:])]
+
+
+def local_slope(x: Sequence[float], y: Sequence[float], i: int, order: int = 2) -> float:
+    """The slope at point i of ``local_polynomial``."""
+    p = derivative(local_polynomial(x, y, i, order))
+    return sum(c * float(x[i]) ** (len(p) - 1 - k) for k, c in enumerate(p))
+
+
+def local_polynomial(x: Sequence[float], y: Sequence[float], i: int, order: int = 2) -> list[float]:
+    """The polynomial through point i and its ``order`` nearest others (by place in x, ties to the left)."""
+    near = sorted(range(len(x)), key=lambda k: (abs(x[k] - x[i]), k))[: order + 1]
+    near.sort()
+    return interpolate([x[k] for k in near], [y[k] for k in near])
+
+
+def edge_heavy_items(values: Column, sample: int, bias: float = 2.0) -> Column:
+    """Of an array's elements the ones at ``edge_heavy`` places; an array of ``sample`` or fewer stays."""
+    @F.udf("array<int>", useArrow=True)
+    def places(n):
+        return None if n is None or n <= sample else edge_heavy(n, sample, bias)
+
+    at = places(F.size(values))
+    return F.when(F.size(values) <= sample, values).otherwise(F.transform(at, lambda k: F.get(values, k)))
+
+
+def python_text(value: Column, kind: str) -> Column:
+    """The text that Python's ``str`` gives: None, True, 1.0, 1e+16."""
+    if kind in ("double", "float"):
+        return F.udf(lambda v: str(v), "string", useArrow=True)(value.cast("double"))
+    if kind == "boolean":
+        return F.when(value.isNull(), "None").when(value, "True").otherwise("False")
+    return F.coalesce(value.cast("string"), F.lit("None"))
+
+
+def stable_hash(*columns: Column | str) -> Column:
+    """A hash of a row's values, arrays, maps and nulls included, the same in every run."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def flatten_column(value: Column, depth: int) -> Column:
+    """Arrays nested ``depth`` deep as one array; null inner arrays are left out."""
+    for _ in range(depth - 1):
+        value = F.flatten(F.filter(value, lambda x: x.isNotNull()))
+    return value

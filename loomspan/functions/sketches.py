@@ -68,6 +68,16 @@ class Bloom:
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.union(b).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
+    @staticmethod
+    def to_bytes(words: DataFrame) -> DataFrame:
+        """(word, data): the words as eight bytes each, to be stored or sent."""
+        return words.select("word", F.unhex(F.lpad(F.hex("bits"), 16, "0")).alias("data"))
+
+    @staticmethod
+    def from_bytes(data: DataFrame) -> DataFrame:
+        half = lambda a: F.conv(F.substring(F.hex("data"), a, 8), 16, 10).cast("bigint")
+        return data.select("word", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("bits"))
+
     def probe(self, df: DataFrame, value: str, words: DataFrame, name: str = "seen") -> DataFrame:
         """Adds whether a value may have been added; never false for one that was.
 
@@ -75,7 +85,8 @@ class Bloom:
         """
         if self.m <= 1 << 24:
             n = self.m // 64 + 1
-            table = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("t")).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("t", i.cast("bigint")), F.lit(0))).alias("__words"))
+            every = df.sparkSession.range(n).join(words, F.col("id") == F.col("word"), "left")
+            table = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("t")).select(F.col("t.bits").alias("__words"))
             inside = F.forall(self._places(F.col(value).cast("string")), lambda p: F.getbit(F.get("__words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
             return df.crossJoin(F.broadcast(table)).withColumn(name, F.coalesce(inside, F.lit(False))).drop("__words")
         keyed = df.withColumn("__row", F.monotonically_increasing_id())

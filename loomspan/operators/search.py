@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -158,4 +158,131 @@ def passes_upper_bound(nodes: DataFrame, include: Mapping[str, Sequence[str]], r
 
 def hash_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
     """n rows drawn by a hash of the id: the same rows however the table is split."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), id_col).limit(n)
+
+
+def detokenize(tokens: Column) -> Column:
+    """The inverse of ``integer_tokens``: numbers with blanks between them."""
+    return F.array_join(F.transform(tokens, lambda x: x.cast("string")), " ")
+
+
+def parse_query(text: str) -> dict:
+    """A search's ``spec`` from JSON: text, embeddings, token_sequence, label_include, numeric_range, top_k (10)."""
+    import json
+
+    given = json.loads(text)
+    if not isinstance(given, dict):
+        raise ValueError("a query is a JSON object")
+    known = {"text": str, "embeddings": list, "token_sequence": list, "label_include": dict, "numeric_range": dict, "top_k": int}
+    for key, value in given.items():
+        if key not in known:
+            raise ValueError(f"a query has no {key!r}")
+        if value is not None and (not isinstance(value, known[key]) or isinstance(value, bool)):
+            raise ValueError(f"{key!r} is not a {known[key].__name__}")
+    spec = {k: v for k, v in given.items() if v is not None}
+    spec["numeric_range"] = {k: (float(v[0]), float(v[1])) for k, v in spec.get("numeric_range", {}).items()}
+    spec["label_include"] = {k: [str(x) for x in v] for k, v in spec.get("label_include", {}).items()}
+    return {"top_k": 10} | spec
+
+
+def tokenized(df: DataFrame, text: str, tokenizer: Callable[[list[str]], list[list[int]]], name: str = "tokens") -> DataFrame:
+    """Adds the token ids that a function gives for a batch of texts; null texts have none."""
+    import pandas as pd
+
+    @F.pandas_udf("array<bigint>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        given = texts.notna()
+        out = pd.Series([None] * len(texts), dtype=object)
+        if given.any():
+            out[given] = pd.Series(tokenizer(texts[given].tolist()), index=texts.index[given], dtype=object).to_numpy()
+        return out
+
+    return df.withColumn(name, tokens(F.col(text).cast("string")))
+
+
+def embedded(df: DataFrame, tokens: str, embedder: Callable[[list], list], name: str = "embedding") -> DataFrame:
+    """Adds the vector, at length 1, that a function gives for a batch of token lists; null lists have none."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def vectors(rows: pd.Series) -> pd.Series:
+        given = rows.notna()
+        out = pd.Series([None] * len(rows), dtype=object)
+        if given.any():
+            made = np.asarray(embedder([list(r) for r in rows[given]]), float)
+            norm = np.sqrt((made**2).sum(1, keepdims=True))
+            out[given] = pd.Series(list(made / np.where(norm > 0, norm, 1)), index=rows.index[given]).to_numpy()
+        return out
+
+    return df.withColumn(name, vectors(tokens))
+
+
+def bin_pack(sizes: DataFrame, bins: int, item: str = "path", size: str = "num_bytes") -> DataFrame:
+    """(item, bin): the largest items first, each to the bin with the least in it.
+
+    The greedy rule needs one order over all items; sizes are grouped first, and only
+    (size, how many) goes to the driver, where runs of one size are dealt out together.
+    """
+    import heapq
+
+    counts = sizes.groupBy(F.col(size).alias("s")).count().orderBy(F.desc("s"))
+    load = [(0, b) for b in range(bins)]
+    dealt = []
+    for row in counts.toLocalIterator():
+        for k in range(row["count"]):
+            full, b = heapq.heappop(load)
+            dealt.append((row.s, k, b))
+            heapq.heappush(load, (full + row.s, b))
+    from pyspark.sql import Window
+
+    numbered = sizes.select(item, F.col(size).alias("s"), (F.row_number().over(Window.partitionBy(size).orderBy(item)) - 1).cast("bigint").alias("k"))
+    plan = sizes.sparkSession.createDataFrame(dealt, "s bigint, k bigint, bin int")
+    return numbered.join(plan, ["s", "k"]).select(item, "bin")
+
+
+def node_statistics(rows: DataFrame, node: str, labels: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """(node, labels, low, high) as ``passes_upper_bound`` reads them: label counts and number ranges of each node's rows."""
+    parts = []
+    for c in labels:
+        each = rows.where(F.col(c).isNotNull()).groupBy(F.col(node).alias("node"), F.col(c).cast("string").alias("v")).count()
+        parts.append(each.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("v", "count"))).alias("m")).select("node", F.struct(F.lit(c).alias("key"), F.col("m").alias("value")).alias("e")))
+    ranges = rows.groupBy(F.col(node).alias("node")).agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(numbers) for k, f in (("l", F.min), ("h", F.max))], F.count(F.lit(1)).alias("n"))
+    table = lambda k: F.map_from_arrays(F.array(*[F.lit(c) for c in numbers]), F.array(*[F.col(f"{k}{i}") for i in range(len(numbers))])) if numbers else F.create_map().cast("map<string,double>")
+    out = ranges.select("node", "n", table("l").alias("low"), table("h").alias("high"))
+    if not parts:
+        return out.withColumn("labels", F.create_map().cast("map<string,map<string,bigint>>"))
+    counted = reduce(DataFrame.union, parts).groupBy("node").agg(F.map_from_entries(F.collect_list("e")).alias("labels"))
+    return out.join(counted, "node", "left").withColumn("labels", F.coalesce("labels", F.create_map().cast("map<string,map<string,bigint>>")))
+
+
+def descend_filtered(rows: DataFrame, node: str, include: Mapping[str, Sequence[str]], ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """The rows that meet the filters, out of the nodes whose statistics allow a match."""
+    nodes = node_statistics(rows, node, [k for k in include if k in rows.columns], [k for k in ranges if k in rows.columns])
+    open_ = nodes.where(passes_upper_bound(nodes, include, ranges)).select(F.col("node").alias("__node"))
+    return rows.join(small(open_), F.col(node).eqNullSafe(F.col("__node")), "left_semi").where(filters(rows, include, ranges))
+
+
+def merge_summaries(parts: DataFrame) -> DataFrame:
+    """Summaries of workers, merged by field: ``sketch`` (distinct values), ``values`` map<string, bigint>, ``n``, ``low``, ``high``."""
+    counted = parts.select("field", F.explode("values").alias("v", "c")).groupBy("field", "v").agg(F.sum("c").alias("c")).groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("values"))
+    rest = parts.groupBy("field").agg(F.hll_union_agg("sketch", True).alias("sketch"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return rest.join(counted, "field", "left")
+
+
+def word_vectors(words: DataFrame, word: str, known: DataFrame, pieces: DataFrame, buckets: int, low: int = 3, high: int = 6) -> DataFrame:
+    """(word, vector): a known word's own vector, or the mean of its sub-words' vectors.
+
+    ``known`` is (word, vector); ``pieces`` is (id, vector), the id of a sub-word being its
+    32-bit FNV-1a hash modulo ``buckets``. Sub-words without a vector count as zeros; a word without any sub-word has null.
+    """
+    from loomspan.functions.scalars import fnv1a, subwords
+
+    each = words.select(F.col(word).alias("word")).where("word is not null").distinct()
+    own = each.join(known.select("word", F.col("vector").alias("own")), "word", "left")
+    rest = own.where("own is null").select("word", F.explode(subwords(F.col("word"), low, high)).alias("piece"))
+    placed = rest.select("word", F.pmod(fnv1a(F.col("piece")), F.lit(buckets)).alias("id")).join(pieces.select("id", "vector"), "id", "left")
+    n = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sums = placed.select("word", F.posexplode("vector").alias("k", "x")).groupBy("word", "k").agg(F.sum("x").alias("x"))
+    mean = sums.join(n, "word").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("x") / F.col("n")).alias("x")))), lambda s: s.x).alias("mean"))
+    return own.join(mean, "word", "left").select("word", F.coalesce("own", "mean").alias("vector"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +96,50 @@ def summarize(df: DataFrame, max_display: int = 10) -> DataFrame:
     return F.broadcast(kinds).join(whole, "column").join(top, "column", "left")
 
 
+def order_statistic(df: DataFrame, column: str, k: int) -> float | None:
+    """The k-th smallest value (from 0), exact; None beyond the rows."""
+    grouped = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return running_total(grouped, "v", "n").where(F.col("upto") > k).agg(F.min("v")).first()[0]
+
+
+def sorted_unique(df: DataFrame, column: str) -> DataFrame:
+    """(value): distinct values in order, nulls last."""
+    return df.select(F.col(column).alias("value")).distinct().orderBy(F.col("value").asc_nulls_last())
+
+
+def insert_sorted(values: Column, value: Column, unique: bool = False) -> Column:
+    """A sorted array with a value in its place; with ``unique``, only if it isn't there."""
+    added = F.array_sort(F.concat(values, F.array(value)))
+    return F.when(F.array_contains(values, value), values).otherwise(added) if unique else added
+
+
+def summarize_values(df: DataFrame, max_display: int = 10) -> DataFrame:
+    """(column, k, low, high, value, n): what a summary shows of each column.
+
+    A numeric column of over ``max_display`` distinct values: ``max_display - 1`` bins of equal
+    width, the last closed; of fewer: its values in order. Other columns: the most frequent
+    values, ties by value. Nulls aren't shown.
+    """
+    numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "float", "double", "smallint", "tinyint") or t.startswith("decimal")]
+    per = settle(counts(df).where("value is not null"))
+    sizes = {r.column: r.n for r in per.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    parts = []
+    for c in df.columns:
+        own = per.where(F.col("column") == c)
+        if c in numeric and sizes.get(c, 0) > max_display:
+            low, high = df.agg(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).first()
+            shown = bins(df.select(F.col(c).cast("double").alias(c)), c, max_display - 1, low, high)
+            parts.append(shown.select(F.lit(c).alias("column"), F.col("bin").cast("bigint").alias("k"), "low", "high", F.lit(None).cast("string").alias("value"), "n"))
+        else:
+            order = (F.col("value").cast("double"),) if c in numeric else (F.desc("n"), F.col("value"))
+            top = own.orderBy(*order).limit(max_display).withColumn("k", (F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1).cast("bigint"))
+            parts.append(top.select("column", "k", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "value", "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """(effect): Pearson's coefficient, null if a column is constant."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -126,6 +171,32 @@ def ks_p_value(ks: Column, n1: Column, n2: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.exp(-2 * ks * ks / F.abs(1 / n1 + 1 / n2)))
 
 
+def epdf_difference(df: DataFrame, category: str, value: str) -> DataFrame:
+    """(category, difference): 1 less the mass that a category's values and all others share.
+
+    Each side's distribution function is linear between its distinct values, so its density
+    is constant there; the shared mass is the sum over the steps of both of the lesser one.
+    A side with a single value has no density and shares nothing.
+    """
+    rows = df.where(F.col(category).isNotNull() & F.col(value).isNotNull()).select(F.col(category).alias("category"), F.col(value).cast("double").alias("v"))
+    pairs = settle(rows.groupBy("category", "v").agg(F.count(F.lit(1)).alias("n")))
+    every = pairs.groupBy("v").agg(F.sum("n").alias("n"))
+    names = pairs.select("category").distinct()
+    both = every.crossJoin(small(names)).join(pairs.withColumnRenamed("n", "own"), ["category", "v"], "left").select("category", "v", F.nullif(F.coalesce("own", F.lit(0)), F.lit(0)).alias("a"), F.nullif(F.col("n") - F.coalesce("own", F.lit(0)), F.lit(0)).alias("b"))
+    whole = Window.partitionBy("category")
+    ahead = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    behind = whole.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    # between two values of either side both densities are constant
+    density = both.withColumn("end", F.lag("v").over(whole.orderBy(F.desc("v"))))
+    for side in "ab":
+        at = F.when(F.col(side).isNotNull(), F.col("v"))
+        first = F.min(F.when(F.col(side).isNotNull(), F.struct("v", side))).over(whole)[side]
+        since, until, mass = F.last(at, True).over(ahead), F.last(at, True).over(behind), F.last(side, True).over(behind)
+        density = density.withColumn(f"d{side}", mass / F.nullif(F.sum(side).over(whole) - first, F.lit(0)) / (until - since))
+    shared = density.groupBy("category").agg(F.sum((F.col("end") - F.col("v")) * F.coalesce(F.when(F.col("da") < F.col("db"), F.col("da")).otherwise(F.col("db")) + F.col("da") * 0, F.lit(0.0))).alias("shared"))
+    return shared.select("category", (1 - F.coalesce("shared", F.lit(0.0))).alias("difference"))
+
+
 def category_effect(df: DataFrame, a: str, b: str) -> DataFrame:
     """(column, value, effect): total variation between the other column's shares with and without the value, both ways."""
     joint = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -143,14 +214,17 @@ def category_effect(df: DataFrame, a: str, b: str) -> DataFrame:
     return one(a, "a", "b").union(one(b, "b", "a"))
 
 
-def effects(df: DataFrame, compare_with: str, method: str = "max") -> DataFrame:
-    """(column, effect) of every other column on one, by descending strength.
+def effects(df: DataFrame, compare_with: str | Sequence[str], method: str = "mean") -> DataFrame:
+    """(column, effect) of every other column on one, by descending strength; for several columns (compared, column, effect).
 
     Two numbers: correlation; number and category: 1 - p of the KS test, combined over
     categories; two categories: total variation, combined over values.
     """
     from loomspan.errors import BadIndex
 
+    if not isinstance(compare_with, str):
+        each = [effects(df, c, method).select(F.lit(c).alias("compared"), "column", "effect") for c in compare_with]
+        return reduce(DataFrame.union, each).orderBy(F.abs("effect").desc_nulls_last(), "compared", "column")
     if compare_with not in df.columns:
         raise BadIndex(f"no column {compare_with!r}")
     numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "float", "double", "smallint") or t.startswith("decimal")}
@@ -267,19 +341,33 @@ def weighted_set_mean(children: DataFrame, set_id: str, value: str, weight: str,
 def suffix_mean(children: DataFrame, set_id: str, pos: Sequence[str], value: str, weight: str) -> DataFrame:
     """Adds the weighted mean over each member and those after it in its set; the last one is itself."""
     w = F.greatest(F.col(weight).cast("double"), F.lit(LEAST_WEIGHT))
-    rest = Window.partitionBy(set_id).orderBy(*pos).rowsBetween(0, Window.unboundedFollowing)
+    # from the end on: a frame that reaches forward without bound would be summed anew for every row
+    rest = Window.partitionBy(set_id).orderBy(*[F.desc(c) for c in pos]).rowsBetween(Window.unboundedPreceding, 0)
     return children.withColumn("suffix_mean", F.sum(w * F.col(value)).over(rest) / F.sum(w).over(rest))
 
 
 def gram(df: DataFrame, vector: str, d: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sum of outer products, sum, rows) of a vector column: partial d x d sums per batch, one small row each."""
+    """(sum of outer products, sum, rows) of a vector column: partial d x d sums per batch, one small row each.
+
+    A missing number counts as its place's mean over the rows that have it; a vector of another
+    length is an error; a null vector is no row.
+    """
     import pyarrow as pa
 
+    from loomspan.errors import BadData
+
+    odd = df.where(F.col(vector).isNotNull() & (F.size(vector) != d)).limit(1).count()
+    if odd:
+        raise BadData(f"a vector of {vector!r} hasn't {d} numbers")
+    each = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("k", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    means = {r.k: r.m for r in each.groupBy("k").agg(F.avg("x").alias("m")).collect()}  # d rows
+    usual = np.array([means.get(k, 0.0) for k in range(d)])
+
     def partial(source):
         total, mean, n = np.zeros((d, d)), np.zeros(d), 0
         for batch in source:
-            x = np.asarray(batch.column(0).flatten(), float).reshape(-1, d)
-            x = np.where(np.isnan(x), 0, x)
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
+            x = np.where(np.isnan(x), usual, x)
             total += x.T @ x
             mean += x.sum(0)
             n += len(x)
@@ -302,6 +390,60 @@ def pca(df: DataFrame, vector: str, d: int, k: int) -> tuple[np.ndarray, np.ndar
     return np.sqrt(np.maximum(value[order], 0)), direction[:, order].T
 
 
+def pca_sql(table: str, vector: str, d: int) -> str:
+    """The centred Gram matrix that ``pca`` decomposes, as (i, j, g) in DuckDB."""
+    return f"""with numbered as (select row_number() over () as r, {vector} as vector from {table} as source), x as (select r, i, vector[i]::double as v from numbered, range(1, {d + 1}) t(i)), m as (select i, avg(v) as m from x group by i),
+c as (select r, x.i, v - m as v from x join m using (i)) select (a.i - 1)::int as i, (b.i - 1)::int as j, round(sum(a.v * b.v), 4) as g from c a join c b on a.r = b.r group by all"""
+
+
+def centred_gram(df: DataFrame, vector: str, d: int) -> DataFrame:
+    """(i, j, g): the sums of products of centred places."""
+    g, s, n = gram(df, vector, d)
+    c = g - np.outer(s, s) / max(n, 1)
+    return df.sparkSession.createDataFrame([(i, j, float(c[i, j])) for i in range(d) for j in range(d)], "i int, j int, g double")
+
+
+def orthogonalize(columns: np.ndarray) -> tuple[np.ndarray, int]:
+    """(orthonormal columns that span the same space, how many): Gram-Schmidt, the longest remaining column first."""
+    left, done = np.array(columns, float), []
+    limit = 1e-10 * max(np.sqrt((left**2).sum(0)).max(initial=0.0), 1e-300)
+    while left.shape[1]:
+        size = np.sqrt((left**2).sum(0))
+        k = int(size.argmax())
+        if size[k] <= limit:
+            break
+        q = left[:, k] / size[k]
+        done.append(q)
+        left = np.delete(left, k, 1)
+        left -= np.outer(q, q @ left)
+    return (np.stack(done, 1) if done else np.zeros((len(left), 0))), len(done)
+
+
+def whitening(df: DataFrame, vector: str, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, matrix): ``(x - shift) @ matrix`` has mean 0 and unit covariance in the directions that vary."""
+    g, s, n = gram(df, vector, d)
+    value, direction = np.linalg.eigh(g / max(n, 1) - np.outer(s, s) / max(n, 1) ** 2)
+    keep = value > max(value.max(initial=0.0), 0.0) * 1e-10
+    scale = np.where(keep, 1 / np.sqrt(np.where(keep, value, 1)), 0)
+    return s / max(n, 1), direction * scale
+
+
+def least_squares(df: DataFrame, features: Sequence[str], target: str, intercept: bool = True) -> DataFrame:
+    """(name, weight): the weights of least squared error, from one aggregation of products; rows with a null are left out."""
+    names = [*features, *(["1"] if intercept else []), target]
+    rows = df.dropna(subset=[*features, target]).select(*[F.lit(1.0).alias("1") if c == "1" else F.col(c).cast("double").alias(c) for c in names])
+    sums = rows.agg(*[F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
+    m = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+    w = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(names, w)], "name string, weight double")
+
+
+def category_ratio(point: Sequence[float], vertices: np.ndarray) -> np.ndarray:
+    """The affine weights (sum 1) of a simplex's vertices that give a point."""
+    a = np.vstack([vertices.T, np.ones(len(vertices))])
+    return np.linalg.solve(a, np.append(np.asarray(point, float), 1.0))
+
+
 def project(vector: str, directions: np.ndarray) -> Column:
     """Scores on the directions, without centring."""
     from loomspan.operators.joins import dot

@@ -163,17 +163,66 @@ class Table:
     def differs(self, column: str, value: Any) -> Column:
         return ~self.equals(column, value)
 
+    def _listed(self, values: Sequence[Any], kind: T.DataType | str, name: str = "__value") -> DataFrame:
+        """(position, value) of a value for each row; an error if their numbers differ."""
+        values = list(values)
+        if len(values) != len(self):
+            raise E.BadData(f"{len(values)} values for {len(self)} rows")
+        kind = self._raw.schema[kind].dataType if isinstance(kind, str) else kind
+        return self._raw.sparkSession.createDataFrame(list(enumerate(values)), T.StructType([T.StructField(POS, T.LongType()), T.StructField(name, kind)]))
+
+    def equals_each(self, column: str, values: Sequence[Any]) -> DataFrame:
+        """(position, same): each row's value against the one at its place in ``values``; null equals null."""
+        self._check(column)
+        return self.df.join(self._listed(values, column), POS).select(POS, F.col(column).eqNullSafe(F.col("__value")).alias("same"))
+
+    def has_value(self, column: str, value: Any) -> bool:
+        """Whether a column has a value anywhere."""
+        return not self._raw.where(self.equals(column, value)).isEmpty()
+
+    def rowwise(self, operator: Callable[[Column, Column], Column], other: Any) -> "Table":
+        """Every cell with ``other``: one value for all columns, or one for each. A missing side gives null."""
+        others = list(other) if isinstance(other, (list, tuple)) else [other] * len(self.columns)
+        if len(others) != len(self.columns):
+            raise E.BadElement(f"{len(others)} values for {len(self.columns)} columns")
+        return Table(self._raw.select(*[operator(F.col(c), o if isinstance(o, Column) else F.lit(o)).alias(c) for c, o in zip(self.columns, others)], POS), numbered=True, dense=self._is_dense)
+
     @staticmethod
     def floor_divide(a: Column, b: Column) -> Column:
         return F.floor(a / b)
 
     # -- selection ----------------------------------------------------------
 
-    def select(self, *names: str | int) -> "Table":
-        """Columns by name or position (negative counts from the end)."""
-        chosen = [self.columns[n] if isinstance(n, int) else n for n in names]
+    def select(self, *names: str | int | slice | Sequence[bool]) -> "Table":
+        """Columns by name, position (negative counts from the end), slice or mask, in the given order.
+
+        A name may repeat: its second place is called ``name_2`` and so on, as Spark can't tell equal names apart.
+        """
+        chosen: list[str] = []
+        for n in names:
+            if isinstance(n, (list, tuple)) and n and all(isinstance(x, bool) for x in n):
+                if len(n) != len(self.columns):
+                    raise E.BadIndex(f"a mask of {len(n)} for {len(self.columns)} columns")
+                chosen += [c for c, keep in zip(self.columns, n) if keep]
+            elif isinstance(n, slice):
+                chosen += self.columns[n]
+            elif isinstance(n, bool):
+                raise E.BadIndex("a column isn't named by a truth value")
+            elif isinstance(n, int):
+                if not -len(self.columns) <= n < len(self.columns):
+                    raise E.BadIndex(f"no column {n}")
+                chosen.append(self.columns[n])
+            else:
+                chosen.append(n)
         self._check(*chosen)
-        return Table(self._raw.select(*dict.fromkeys(chosen), POS), numbered=True, dense=self._is_dense)
+        called: list[str] = []
+        for c in chosen:
+            k, new = 1, c
+            while new in called:
+                k += 1
+                new = f"{c}_{k}"
+            called.append(new)
+        return Table(self._raw.select(*[F.col(f"`{c}`").alias(new) for c, new in zip(chosen, called)], POS), numbered=True, dense=self._is_dense)
 
     def where(self, condition: Column) -> "Table":
         return Table(self._raw.where(condition), numbered=True, dense=False)
@@ -248,6 +297,27 @@ class Table:
             new = F.when(condition, new.cast(old)).otherwise(F.col(column))
         return Table(self.df.withColumn(column, new).select(*dict.fromkeys([*self.columns, column]), POS), numbered=True)
 
+    def assign_each(self, column: str, values: Sequence[Any], ids: Sequence[int] | None = None) -> "Table":
+        """A column's values set one by one, in all rows or at the positions ``ids``; as many values as rows."""
+        self._check(column)
+        if ids is None:
+            new = self._listed(values, column)
+        else:
+            values, n = list(values), len(self)
+            if len(values) != len(ids):
+                raise E.BadAssignment(f"{len(values)} values for {len(ids)} rows")
+            if any(not -n <= i < n for i in ids):
+                raise E.BadIndex("a row index is out of range")
+            new = self._raw.sparkSession.createDataFrame(list({i % n: v for i, v in zip(ids, values)}.items()), T.StructType([T.StructField(POS, T.LongType()), T.StructField("__value", self._raw.schema[column].dataType)]))
+        new = F.broadcast(new.withColumn("__set", F.lit(True))) if len(values) <= 100_000 else new.withColumn("__set", F.lit(True))
+        joined = self.df.join(new, POS, "left")
+        return Table(joined.withColumn(column, F.when(F.col("__set"), F.col("__value")).otherwise(F.col(column))).select(*self.columns, POS), numbered=True)
+
+    def map_column(self, f: Callable[[Any], Any], column: str, kind: str, name: str | None = None) -> "Table":
+        """A column from a Python function of another one's values, in Arrow batches; nulls are passed to it."""
+        self._check(column)
+        return self.with_column(name or column, F.udf(f, kind, useArrow=True)(F.col(column)))
+
     def add_column(self, values: Sequence[Any], name: str | None = None, index: int | None = None) -> "Table":
         """A column from Python values, one a row, of one type."""
         if name is not None and not isinstance(name, str):
@@ -370,6 +440,11 @@ class Table:
             return self._dense(self.df, *tag, POS)
         return Table(number_rows(self.df.withColumnRenamed(POS, "__was"), *by, "__was").drop("__was"), numbered=True)
 
+    def argsort(self, *keys: str) -> DataFrame:
+        """(rank, position): the positions in sorted order; ties by position, nulls last."""
+        marked = self.df.withColumn("__at", F.col(POS))
+        return Table(marked, numbered=True).sort(*(keys or self.columns)).df.select(F.col(POS).alias("rank"), F.col("__at").alias("position"))
+
     def _without(self, name: str) -> "Table":
         return Table(self.df.drop(name), numbered=True)
 
@@ -395,7 +470,7 @@ class Table:
 
     def k_fold(self, k: int, seed: int = 0) -> DataFrame:
         """The rows with a ``fold`` 0 .. k-1: cuts of a seeded shuffle at floor(0.5 + b * n / k)."""
-        shuffled = number_rows(self.df.withColumnRenamed(POS, "__was"), F.xxhash64("__was", F.lit(seed)), "__was")
+        shuffled = number_rows(self.df.withColumnRenamed(POS, "__was"), F.md5(F.concat(F.col("__was").cast("string"), F.lit(f":{seed}"))), "__was")
         n = len(self)
         edges = [int(0.5 + b * n / k) for b in range(1, k)]
         fold = reduce(lambda a, e: a + F.when(F.col(POS) >= e, 1).otherwise(0), edges, F.lit(0))

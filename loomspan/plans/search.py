@@ -156,7 +156,7 @@ def byte_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events where props is not null""")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.flat_json(read(spark, sf_dir, "events").select("event_id", "props"), "props", depth=1)
+    return files.flat_json(read(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
 @query(None)

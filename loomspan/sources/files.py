@@ -121,19 +121,67 @@ def consolidated(parts: Sequence[DataFrame]) -> DataFrame:
     return number_rows(out, "__part", "doc_id").withColumn("doc_id", F.col(POS) + 1).drop(POS, "__part")
 
 
-def flat_json(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
+def flat_json(df: DataFrame, column: str) -> DataFrame:
     """(…, path, value) of every scalar in a JSON text: dotted paths, list elements under their parent's path, a root list under ``item``."""
     keep = [c for c in df.columns if c != column]
-    level = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
-    done = None
-    for _ in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaf = level.where(~nested).select(*keep, F.when(F.col("path") == "", "item").otherwise(F.col("path")).alias("path"), F.col("v").cast("string").alias("value"))
-        done = leaf if done is None else done.union(leaf)
-        inner = level.where(nested).withColumn("__list", F.schema_of_variant("v").startswith("ARRAY"))
-        inner.createOrReplaceTempView("__flat")
-        opened = df.sparkSession.sql(f"select {''.join(f'`{c}`, ' for c in keep)} path, __list, e.key as k, e.value as v from __flat, lateral variant_explode(v) e")
-        step = F.when(F.col("__list"), F.when(F.col("path") == "", "item").otherwise(F.col("path"))).when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k"))
-        level = opened.select(*keep, step.alias("path"), "v")
-    return done
+    found = df.select(*keep, F.explode(F.udf(_json_scalars, "array<struct<path: string, value: string>>", useArrow=True)(F.col(column))).alias("__found"))
+    return found.select(*keep, "__found.path", "__found.value")
+
+
+def _json_scalars(text):
+    """Every scalar at any depth; numbers as they are written. A text that isn't JSON has none."""
+    import json
+
+    try:
+        todo, out = [("", json.loads(text, parse_float=str, parse_int=str, parse_constant=str))], []
+    except (TypeError, ValueError, RecursionError):
+        return []
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(path or "item", x) for x in reversed(v)]
+        else:
+            out.append((path or "item", {True: "true", False: "false"}.get(v, v) if isinstance(v, bool) else v))
+    return out
+
+
+def save_pickle(rows: Sequence, path: str) -> None:
+    """Plain Python rows of a small table to a pickle file (``.gz`` allowed); tables of any size go to Parquet by ``save``."""
+    import gzip
+    import pickle
+
+    with (gzip.open if path.endswith(".gz") else open)(path, "wb") as out:
+        pickle.dump(list(rows), out)
+
+
+def load_pickle(path: str) -> list:
+    """The rows of ``save_pickle``. Only for files of one's own: unpickling runs code."""
+    import gzip
+    import pickle
+
+    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as file:
+        return pickle.load(file)
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows at random, exactly (all if there are fewer): the smallest of random numbers, found with a heap a task."""
+    return df.withColumn("__draw", F.rand(seed)).orderBy("__draw").limit(n).drop("__draw")
+
+
+def load_onto(table: DataFrame, path: str, **options) -> DataFrame:
+    """The table with a file's rows behind its own, by name; missing columns are null."""
+    return table.unionByName(load(table.sparkSession, path, **options), allowMissingColumns=True)
+
+
+def with_path_tags(df: DataFrame, path: str, root: str) -> DataFrame:
+    """Adds ``tags``: the names of the folders between the root and each file."""
+    below = F.regexp_replace(F.col(path), F.concat(F.lit("^.*?"), F.lit(f"\\Q{root.rstrip('/')}\\E/")), F.lit(""))
+    parts = F.split(below, "/")
+    return df.withColumn("tags", F.slice(parts, F.lit(1), F.size(parts) - 1))
+
+
+def share_of_work(df: DataFrame, worker: int, workers: int, path: str = "path") -> DataFrame:
+    """The documents of one worker out of several, by a hash of the path: the same split in every run."""
+    return df.where(F.pmod(F.xxhash64(path), F.lit(workers)) == worker)
