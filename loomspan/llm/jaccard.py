@@ -15,7 +15,7 @@ sets is split into blocks, and each two blocks meet in a tile of their own.
 Bands. The sets of a tile are sorted by size, and each meets those of its band: no larger
 than its own size over the threshold. A pair's own sizes say how much it must have in
 common, and so how early in both orders one of its common n-grams must come: a tile whose
-n-gram comes later in either set is none of the pair's. Of its tiles the first counts: two
+n-gram comes later in either set is none of the pair's. Of its tiles the first counts: three
 prefix n-grams travel with each set, and a pair that both show to meet earlier is left to
 that tile; what is left is made unique.
 
@@ -53,10 +53,10 @@ from loomspan.session import settle
 
 N = 3
 THRESHOLD = 0.6
-#: N-grams that are ordered by their count; 16 bytes each reach every executor.
-LISTED = 1 << 18
+#: N-grams that are ordered by their count; 12 bytes each reach every executor, 25 MB at most.
+LISTED = 1 << 21
 #: N-grams that are counted together before the shuffle.
-COUNT_AT_ONCE = 1 << 21
+COUNT_AT_ONCE = 1 << 22
 #: Bits of a prefix n-gram that make a tile's key; two n-grams with equal bits share a tile, which only costs time.
 KEY_BITS = 40
 #: Keys that a task packs together, and keys in a part of the join.
@@ -67,7 +67,7 @@ TILE = 1 << 14
 #: N-grams of the sets with one leader in a block of the verification.
 BLOCK_GRAMS = 1 << 20
 #: Prefix n-grams that travel with a set, to tell whether a pair meets in an earlier tile.
-PROOFS = 2
+PROOFS = 3
 #: Rows of ids that may be broadcast; a larger set is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _PAIRS_AT_ONCE = 1 << 18
@@ -151,9 +151,13 @@ def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COU
         held: list[np.ndarray] = []
 
         def tally() -> pa.RecordBatch:
-            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            gram = np.concatenate(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(gram[times > 1].view(np.int64)), pa.array(times[times > 1])], names=["gram", "n"])
+            gram.sort()
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            times = np.diff(first, append=len(gram))
+            first, times = first[times > 1], times[times > 1]
+            return pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(times)], names=["gram", "n"])
 
         for _, _, _, gram, _ in _grams(source, n):
             held.append(gram)
@@ -172,12 +176,12 @@ def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COU
             break
         least = at
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     table = counts.where(level >= least).toArrow()
     gram, times = (np.asarray(table[c].to_numpy()) for c in ("gram", "n"))
     gram = gram.view(np.uint64)
     order = np.argsort(gram)
-    return gram[order], times[order]
+    return gram[order], np.minimum(times[order], (1 << 31) - 1).astype(np.int32)
 
 
 def prefixes(gram: np.ndarray, size: np.ndarray, threshold: float, listed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -336,7 +340,7 @@ def candidates(keys: DataFrame, threshold: float) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             first = np.cumsum([0, *(len(h[3]) for h in held)])
-            who = np.concatenate([h[1].astype(np.int64) + f for h, f in zip(held, first)])
+            who = np.concatenate([(h[1] + np.uint64(f)).astype(np.uint32) for h, f in zip(held, first)])
             key, rank, hi, size = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3, 4))
             proof = np.concatenate([h[5] for h in held]).reshape(-1, 2 * PROOFS)
             held.clear()
@@ -349,8 +353,8 @@ def candidates(keys: DataFrame, threshold: float) -> DataFrame:
                 if held and row[0] != open_:
                     yield from close()
                 open_ = row[0]
-                step, *rest = (unsqueeze(x.as_py()) for x in row[1:])
-                held.append((np.cumsum(step, dtype=np.uint64), *rest))  # from the start of the part's range
+                step, at, rank, *rest = (unsqueeze(x.as_py()) for x in row[1:])
+                held.append((np.cumsum(step, dtype=np.uint64), at, rank.astype(np.uint32), *rest))  # keys from the start of the part's range
         if held:
             yield from close()
 

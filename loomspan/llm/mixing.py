@@ -17,6 +17,8 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,26 +153,28 @@ def _rake_in_place(cells: DataFrame, targets: dict[str, dict] | None, keep_share
     return state.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), scaled / F.col("tokens"))).otherwise(1.0).alias("rate"))
 
 
-def _with_rate(docs: DataFrame, topic: Column, cells: tuple[DataFrame, bool]) -> DataFrame:
+def _with_rate(docs: DataFrame, topic: Column, cells: tuple[DataFrame, bool]) -> tuple[DataFrame, str, str]:
+    """``docs`` with its topic and rate, and their names, which no column of ``docs`` has."""
     table, few = cells
-    narrow = table.select(*[F.col(c).alias(f"__mix_{c}") for c in table.columns])
-    tagged = docs.withColumn("__mix_of", topic)
-    same = F.col("source").eqNullSafe(F.col("__mix_source")) & F.col("lang").eqNullSafe(F.col("__mix_lang")) & F.col("__mix_of").eqNullSafe(F.col("__mix_topic"))
-    return tagged.join(F.broadcast(narrow) if few else narrow, same, "left")
+    tag = f"__{uuid.uuid4().hex}"
+    rates_ = table.select(*[F.col(c).alias(f"{tag}_{c}") for c in table.columns])
+    tagged = docs.withColumn(f"{tag}_of", topic)
+    same = tagged["source"].eqNullSafe(rates_[f"{tag}_source"]) & tagged["lang"].eqNullSafe(rates_[f"{tag}_lang"]) & tagged[f"{tag}_of"].eqNullSafe(rates_[f"{tag}_topic"])
+    return tagged.join(F.broadcast(rates_) if few else rates_, same, "left"), f"{tag}_of", f"{tag}_rate"
 
 
 def sampling(docs: DataFrame, targets: dict[str, dict] | None = None, keep_share: float = KEEP_SHARE, topic: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, rate, kept) of every row; the texts are read once to count and once to find topics."""
     topic = topic_of(F.col("text")) if topic is None else topic
-    rows = _with_rate(docs.select("doc_id", "source", "lang", "text"), topic, cell_rates(docs, targets, keep_share, topic))
-    return rows.select("doc_id", "source", "lang", F.col("__mix_of").alias("topic"), F.round("__mix_rate", 6).alias("rate"), (draw(F.col("doc_id")) < F.col("__mix_rate")).alias("kept"))
+    rows, of, rate = _with_rate(docs.select("doc_id", "source", "lang", "text"), topic, cell_rates(docs, targets, keep_share, topic))
+    return rows.select("doc_id", "source", "lang", F.col(of).alias("topic"), F.round(rate, 6).alias("rate"), (draw(F.col("doc_id")) < F.col(rate)).alias("kept"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, keep_share: float = KEEP_SHARE, topic: Column | None = None) -> DataFrame:
     """The drawn rows of ``docs``, all their columns unchanged."""
     topic = topic_of(F.col("text")) if topic is None else topic
-    rows = _with_rate(docs, topic, cell_rates(docs, targets, keep_share, topic))
-    return rows.where(draw(F.col("doc_id")) < F.col("__mix_rate")).select(*[rows[c] for c in docs.columns])
+    rows, _, rate = _with_rate(docs, topic, cell_rates(docs, targets, keep_share, topic))
+    return rows.where(draw(F.col("doc_id")) < F.col(rate)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_sql(docs: str = "documents", keep: str | None = None) -> str:

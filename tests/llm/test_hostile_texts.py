@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from loomspan.llm import decontaminate, token_ids
+from loomspan.llm import decontaminate, mixing, spans, token_ids
 from loomspan.llm.vocab import BYTE_VOCABULARY, read_ranks
 
 
@@ -39,3 +39,10 @@ def test_one_repeated_gram_in_text_and_item(spark, text, item):
     rows = decontaminate.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert time.time() - began < 60
     assert [(r.doc_id, r.item_id, r.edits) for r in rows] == [(1, 7, decontaminate.brute_distance(item.encode(), text[-5000:].encode()))]
+
+
+def test_extra_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, f"text number {k} has some words", "en", "web", 1, 2, 3, 4) for k in range(40)], "doc_id long, text string, lang string, source string, __mix_source int, __mix_of int, __cuts int, __cut_id int")
+    for kept in (mixing.mix(rows), spans.deduplicated(rows)):
+        got = kept.collect()
+        assert kept.columns == rows.columns and got and {tuple(r)[4:] for r in got} == {(1, 2, 3, 4)}
