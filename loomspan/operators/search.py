@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,8 +188,6 @@ def parse_query(text: str) -> dict:
 
 def tokenized(df: DataFrame, text: str, tokenizer: Callable[[list[str]], list[list[int]]], name: str = "tokens") -> DataFrame:
     """Adds the token ids that a function gives for a batch of texts; null texts have none."""
-    import pandas as pd
-
     @F.pandas_udf("array<bigint>")
     def tokens(texts: pd.Series) -> pd.Series:
         given = texts.notna()
@@ -203,8 +202,6 @@ def tokenized(df: DataFrame, text: str, tokenizer: Callable[[list[str]], list[li
 def embedded(df: DataFrame, tokens: str, embedder: Callable[[list], list], name: str = "embedding") -> DataFrame:
     """Adds the vector, at length 1, that a function gives for a batch of token lists; null lists have none."""
     import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def vectors(rows: pd.Series) -> pd.Series:
         given = rows.notna()
