@@ -54,17 +54,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
 
 
 def within_radius(queries: DataFrame, points: DataFrame, radius: float, query_id: str, point_id: str, vector: str = "vector") -> DataFrame:
-    """(query, point, distance) at distance at most ``radius``."""
-    q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q"))
-    p = points.select(F.col(point_id).alias("point"), F.col(vector).alias("__p"))
-    return p.crossJoin(small(q)).select("query", "point", F.sqrt(squared_distance("__q", "__p")).alias("distance")).where(F.col("distance") <= radius)
+    """(query, point, distance) at distance at most ``radius``, by blocks of rows and matrix products."""
+    from loomspan.operators.index import radius_join
+
+    return radius_join(queries, points, radius, query_id, point_id, vector)
 
 
 def similar_pairs(points: DataFrame, least: float, point_id: str, vector: str = "vector") -> DataFrame:
-    """(a, b, similarity), a < b, of cosine similarity at least ``least``; norms are computed once a row."""
-    unit = points.select(F.col(point_id).alias("id"), F.col(vector).alias("v"), F.sqrt(dot(vector, vector)).alias("n")).where("n > 0")
-    a, b = unit.toDF("a", "va", "na"), unit.toDF("b", "vb", "nb")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (dot("va", "vb") / (F.col("na") * F.col("nb"))).alias("similarity")).where(F.col("similarity") >= least)
+    """(a, b, similarity), a < b, of cosine similarity at least ``least``.
+
+    Vectors of length 1 are as similar as they are near: the pairs come from a radius join in blocks.
+    """
+    norm = F.sqrt(dot(vector, vector))
+    unit = points.where(norm > 0).select(F.col(point_id).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") / norm).alias("v"))
+    near = within_radius(unit, unit, max(0.0, 2 - 2 * least) ** 0.5 + 1e-9, "id", "id", "v").where("query < point")
+    return near.select(F.col("query").alias("a"), F.col("point").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
 def nearest_centroid(windows: DataFrame, centroids: DataFrame, doc: str, vector: str, centroid: str) -> DataFrame:

@@ -128,13 +128,6 @@ def summarize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.summarize_values(df).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
-@query("select round(corr(l_extendedprice, l_quantity), 6) as price_quantity, round(corr(l_discount, l_tax), 6) as discount_tax from lineitem")
-def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "lineitem")
-    a, b = S.correlation(df, "l_extendedprice", "l_quantity"), S.correlation(df, "l_discount", "l_tax")
-    return a.select(F.round("effect", 6).alias("price_quantity")).crossJoin(b.select(F.round("effect", 6).alias("discount_tax")))  # two rows of one number
-
-
 def _density(side: str) -> str:
     return f"""{side} as (select c, v, lag(v) over w as low, (sum(n) over w - n) as was, sum(n) over w as upto, sum(n) over (partition by c) as total, first_value(n) over w as first from (select * from raw_{side}) window w as (partition by c order by v)),
 s{side} as (select c, low, v as high, (upto - was)::double / (total - first) / (v - low) as d from {side} where low is not null)"""

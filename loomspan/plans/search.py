@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import designs
 from loomspan.functions import patterns as P
 from loomspan.functions import scalars as X
 from loomspan.functions import sketches as K
@@ -208,8 +209,8 @@ def triangular_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select r.r_regionkey as x, s.r_regionkey as y, t.r_regionkey as z from region r, region s, region t")
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "region").select("r_regionkey")
-    return r.toDF("x").crossJoin(r.toDF("y")).crossJoin(r.toDF("z"))
+    nodes = [r[0] for r in read(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").collect()]  # the grid's lines
+    return designs.mesh(spark, nodes, 3).select(*[F.get("point", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
 
 
 @query("""select doc_id, strlen(split_part(text, ' the ', 1))::int as start, (strlen(split_part(text, ' the ', 1)) + 5)::int as "end" from documents where contains(text, ' the ')""")
@@ -256,12 +257,12 @@ def kmeans_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.assign(e.select("vec_id", "embedding"), "embedding", centroids).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("squared"), 6).alias("mean_squared"))
 
 
-@query(None)
+@query(f"""select query, point, round(distance, 6) as distance, rank from (select a.vec_id as query, b.vec_id as point, sqrt({_D}) as distance, row_number() over (partition by a.vec_id order by {_D}, b.vec_id) as rank from embeddings a, embeddings b) where rank <= 10""")
 def tree_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _vectors(spark, sf_dir)
     """The ten nearest rows of every row, by an exact descent."""
+    e = _vectors(spark, sf_dir)
     rows, _ = N.build_tree(e, "embedding", "vec_id", fanout=8, leaf_rows=64)
-    return N.probe_join(e, rows, 10, "vec_id", "vec_id", "embedding")
+    return N.probe_join(e, rows, 10, "vec_id", "vec_id", "embedding").select("query", "point", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
