@@ -6,6 +6,7 @@ its documents at once. Null texts count as empty ones.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,18 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _powers: dict[str, np.ndarray] = {}
 
 
+def _return_memory() -> None:
+    """Large arrays go back to the system as they are freed: a worker process lives on from task to task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, which would grow otherwise
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_return_memory()
+
+
 def bound_batches(rows: DataFrame) -> DataFrame:
     """The same rows; their session hands them out in batches of BATCH_BYTES unless it was told another size than Spark's own."""
     conf = rows.sparkSession.conf

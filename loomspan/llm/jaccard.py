@@ -56,12 +56,12 @@ THRESHOLD = 0.6
 #: N-grams that are ordered by their count; 12 bytes each reach every executor, 25 MB at most.
 LISTED = 1 << 21
 #: N-grams that are counted together before the shuffle.
-COUNT_AT_ONCE = 1 << 22
+COUNT_AT_ONCE = 1 << 21
 #: Bits of a prefix n-gram that make a tile's key; two n-grams with equal bits share a tile, which only costs time.
 KEY_BITS = 40
 #: Keys that a task packs together, and keys in a part of the join.
-KEYS_AT_ONCE = 1 << 20
-PART_KEYS = 1 << 21
+KEYS_AT_ONCE = 1 << 19
+PART_KEYS = 1 << 20
 #: Sets of one tile; a tile of more is split into blocks.
 TILE = 1 << 14
 #: N-grams of the sets with one leader in a block of the verification.
@@ -70,7 +70,7 @@ BLOCK_GRAMS = 1 << 20
 PROOFS = 3
 #: Rows of ids that may be broadcast; a larger set is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_PAIRS_AT_ONCE = 1 << 18
+_PAIRS_AT_ONCE = 1 << 17
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
