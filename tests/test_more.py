@@ -186,3 +186,11 @@ def test_small_functions(spark, tmp_path):
     assert G.random_range(spark, 5, 5).count() == 0 and [r.value for r in G.random_range(spark, 3, 0, -2).orderBy("value").collect()] == [1, 3]
     assert G.pairs(spark, 30, 50, seed=1).where("i > j and j >= 0 and i < 30").distinct().count() == 50
     assert G.mesh(spark, ["a", "b"], 3, sample=4).distinct().count() == 4
+
+
+def test_file_matches(spark):
+    from loomspan.functions import patterns as P
+
+    df = spark.createDataFrame([(1, "one\ntwo ab three\nab"), (2, "é" * 60 + "ab"), (3, "é" * 30 + "ab" + "é" * 30 + "x" * 400), (4, None)], "id int, t string")
+    rows = P.file_matches(df, "t", "ab", context=4).collect()
+    assert sorted((r.id, r.start, r.line, r.around) for r in rows) == [(1, 8, 2, "two ab thr"), (1, 17, 3, "ree\nab"), (3, 60, 1, "ééabéé")]
