@@ -137,7 +137,8 @@ def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table(read(spark, sf_dir, "nation"), "n_nationkey").positions_of([None, None, 2]).withColumnRenamed(POS, "row")
 
 
-@query(None)
+@query("""with p as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos from orders), s as (select o_orderkey, row_number() over (order by md5(pos || ':1'), pos) - 1 as place, (select count(*) from orders) as n from p)
+select o_orderkey, list_sum([(place >= floor(0.5 + b * n / 11))::int for b in range(1, 11)])::int as fold from s""")
 def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Table(read(spark, sf_dir, "orders").select("o_orderkey").withColumn(POS, F.col("o_orderkey")), numbered=True, dense=False)
     return t.k_fold(11, seed=1).select("o_orderkey", "fold")
