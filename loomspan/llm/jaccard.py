@@ -4,6 +4,11 @@ A document is its set of hashed word trigrams (a shorter text is one n-gram of a
 words; ASCII case is folded). Documents with equal sets become one, so that thousands of
 copies cost one row; what is joined are distinct sets, each known by a hash of its own.
 
+Lone sets. A set in which too many n-grams are in no other set has no partner. Of the share
+``SHARE`` of all n-grams, by hash, those that fall alone into their cell (of eight or more
+an n-gram) are counted in every set; sets with more of them than a similar set could lack
+get no keys. This only ever spares work: it leaves out no set that has a partner.
+
 Tiles. Two sets whose similarity reaches the threshold share an n-gram of their prefixes:
 the first ``size - ceil(threshold * size) + 1`` n-grams in any one order of all n-grams.
 A tile is all sets with the same n-gram in their prefix. The order puts rare n-grams
@@ -49,10 +54,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm._text import FOLDED_CODE, batches, mix, narrow, prefix_hash, ragged, segment_sum, slices, span_hash, text_buffer, words
-from loomspan.session import settle
+from loomspan.session import release, settle
 
 N = 3
 THRESHOLD = 0.6
+#: Of all n-grams, by hash, those that tell lone sets.
+SHARE = 0.7
+#: Cells an n-gram, as a power of two: in one of eight or more n-grams another one's cell is met by chance.
+ROOM_BITS = 3
+#: N-grams of a part of the search for lone sets, and those that a task packs together for it.
+PART_CELLS = 1 << 23
+CELLS_AT_ONCE = 1 << 20
+#: Sets that the sieve of those that go on is made for (8 bytes each reach the driver); beyond it all sets go on.
+SIEVE_SETS = 1 << 23
+#: Bits of the sieve, as a power of two: 16 MB at most.
+SIEVE_BITS = 27
 #: N-grams that are ordered by their count; 12 bytes each reach every executor, 25 MB at most.
 LISTED = 1 << 21
 #: N-grams that are counted together before the shuffle.
@@ -140,12 +156,119 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     return narrow(docs).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, hi bigint, lo bigint, size bigint, bits binary")
 
 
-def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COUNT_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+def lone_grams(docs: DataFrame, n: int, total: int, share: float = SHARE, part: int = PART_CELLS) -> DataFrame:
+    """(hi, lone): of each set the n-grams, of those in the lower ``share`` of all by hash, that are alone in their cell.
+
+    ``total`` n-grams in all sets make the number of cells; each part is a range of them.
+    """
+    bits = min(60, max(1, int(total)).bit_length() + ROOM_BITS)
+    parts = max(1, -(-int(total * share) // part))
+    bounds = np.array([int(share * (1 << bits)) * k // parts for k in range(parts + 1)], np.uint64)
+
+    def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> pa.RecordBatch:
+            hi, gram, size = (np.concatenate(h) for h in zip(*held))
+            held.clear()
+            cell, own = gram >> np.uint64(64 - bits), ragged(size)[0]
+            where = np.searchsorted(bounds, cell, side="right") - 1
+            order = np.argsort(where, kind="stable")  # set by set, ascending within a set
+            cut = np.searchsorted(where[order], np.arange(parts + 1))
+            rows = []
+            for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                if a < b:
+                    at = order[a:b]
+                    who, first, count = np.unique(own[at], return_index=True, return_counts=True)
+                    step = np.diff(cell[at], prepend=bounds[k])
+                    step[first] = cell[at[first]] - bounds[k]
+                    rows.append((k, *map(squeeze, (hi[who].view(np.uint64), count, step))))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)], names=["part", "hi", "count", "steps"])
+
+        for hi, gram, size in _new_sets(source, n, seen):
+            held.append((hi, gram, size))
+            if sum(len(h[1]) for h in held) >= CELLS_AT_ONCE:
+                yield send()
+        if held:
+            yield send()
+
+    def tell(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, held = None, []  # a part's rows so far
+
+        def close() -> pa.RecordBatch:
+            hi, count, cell = (np.concatenate(h) for h in zip(*held))
+            held.clear()
+            once = np.zeros(len(hi), bool)  # equal sets of several tasks are one
+            once[np.unique(hi, return_index=True)[1]] = True
+            cell, hi, count = cell[np.repeat(once, count)], hi[once], count[once]
+            met = np.sort(cell)
+            met = np.unique(met[1:][met[1:] == met[:-1]])
+            lone = np.ones(len(cell), bool)
+            for i in range(0, len(cell) if len(met) else 0, 1 << 20):
+                some = cell[i : i + (1 << 20)]
+                lone[i : i + (1 << 20)] = met[np.minimum(np.searchsorted(met, some), len(met) - 1)] != some
+            return pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(segment_sum(lone, count))], names=["hi", "lone"])
+
+        for batch in batches(source):
+            for k, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                if held and k != open_:
+                    yield close()
+                open_ = k
+                hi, count, step = (unsqueeze(x.as_py()) for x in row)
+                count, sum_ = count.astype(np.int64), np.cumsum(step, dtype=np.uint64)
+                first = np.cumsum(count) - count
+                cell = sum_ - np.repeat(sum_[first] - step[first], count)
+                held.append((hi, count, cell.astype(np.uint32) if int(bounds[1]) < 1 << 32 else cell))
+        if held:
+            yield close()
+
+    packed = narrow(docs).where("doc_id is not null").mapInArrow(emit, "part int, hi binary, count binary, steps binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(tell, "hi bigint, lone bigint").groupBy("hi").agg(F.sum("lone").alias("lone"))
+
+
+def able(docs: DataFrame, heads: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
+    """(hi, size) of the sets that may have a partner: all but those with more lone n-grams than a similar set can lack."""
+    most = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9)
+    return heads.select("hi", "size").join(lone_grams(docs, n, total), "hi", "left").where(F.coalesce("lone", F.lit(0)) <= most).select("hi", "size")
+
+
+def sieve_of(sets: DataFrame, n_sets: int) -> np.ndarray | None:
+    """A bitmap of 16 bits or more a set (within SIEVE_BITS) that lets all of ``sets`` pass; None lets everything pass."""
+    if n_sets > SIEVE_SETS:
+        return None
+    bits = min(SIEVE_BITS, max(10, int(n_sets).bit_length() + 4))
+    sieve = np.zeros(1 << (bits - 3), np.uint8)
+    hi = sets.select("hi").toArrow()["hi"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+    np.bitwise_or.at(sieve, (hi >> np.uint64(3)).astype(np.int64), np.uint8(1) << (hi & np.uint64(7)).astype(np.uint8))
+    return sieve
+
+
+def _new_sets(source: Iterator[pa.RecordBatch], n: int, seen: set[int] | None = None, sieve: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hi, n-grams, sizes) of the sets that pass the sieve, slice by slice; with ``seen``, of those not in it, which it takes up."""
+    for _, _, _, gram, size in _grams(source, n):
+        hi = set_hash(gram, size, _FACTORS[0])
+        new = size > 0
+        if sieve is not None:
+            at = hi.view(np.uint64) >> np.uint64(64 - (len(sieve) * 8).bit_length() + 1)
+            new &= (sieve[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        if seen is not None:
+            if len(seen) > 1 << 20:  # only spares work
+                seen.clear()
+            for k in np.flatnonzero(new).tolist():
+                new[k] = (h := int(hi[k])) not in seen
+                seen.add(h)
+        if new.any():
+            yield hi[new], gram[np.repeat(new, size)], size[new]
+
+
+def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COUNT_AT_ONCE, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram ascending, its count) of the commonest n-grams, ``most`` of them at most.
 
-    All documents are counted, ``at_once`` n-grams at a time; what occurs once in such
+    All documents whose sets pass the sieve are counted, ``at_once`` n-grams at a time; what occurs once in such
     a part isn't sent on, so a count is short by no more than the number of parts.
     """
+    passing = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -159,7 +282,7 @@ def listed_grams(docs: DataFrame, n: int, most: int = LISTED, at_once: int = COU
             first, times = first[times > 1], times[times > 1]
             return pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(times)], names=["gram", "n"])
 
-        for _, _, _, gram, _ in _grams(source, n):
+        for _, gram, _ in _new_sets(source, n, sieve=passing.value):
             held.append(gram)
             if sum(map(len, held)) >= at_once:
                 yield tally()
@@ -232,14 +355,14 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int, parts: int) -> DataFrame:
-    """(part, keys, who, ranks, hi, size, proofs): every set in each of its tiles, packed; equal sets of a task are one.
+def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarray, np.ndarray], tile: int, parts: int, sieve: np.ndarray | None = None) -> DataFrame:
+    """(part, keys, who, ranks, hi, size, proofs): every set that passes the sieve in each of its tiles, packed; equal sets of a task are one.
 
     A key is a prefix n-gram cut to KEY_BITS bits; ``parts`` equal ranges of keys are the
     parts. A row has the keys of one part and of some thousands of documents, in order, with the
     place in its list of sets (hi, size, proofs and their ranks) and the rank in the set's order of each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    shared = docs.sparkSession.sparkContext.broadcast((listed, sieve))
     bounds = (np.arange(parts + 1, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
     names = ["part", "keys", "who", "ranks", "hi", "size", "proofs"]
 
@@ -263,18 +386,9 @@ def tile_keys(docs: DataFrame, n: int, threshold: float, listed: tuple[np.ndarra
                     rows.append((k, *map(squeeze, packed)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
 
-        for _, _, _, gram, size in _grams(source, n):
-            if len(seen) > 1 << 20:  # only spares work
-                seen.clear()
-            hi = set_hash(gram, size, _FACTORS[0])
-            new = np.zeros(len(hi), bool)
-            for k, h in enumerate(hi.tolist()):
-                if size[k] and h not in seen:
-                    seen.add(h)
-                    new[k] = True
-            kept = new[ragged(size)[0]]
-            gram, size, hi = gram[kept], size[new], hi[new]
-            own, key, count, rank = split(*prefixes(gram, size, threshold, shared.value), hi, tile)
+        listed, sieve = shared.value
+        for hi, gram, size in _new_sets(source, n, seen, sieve):
+            own, key, count, rank = split(*prefixes(gram, size, threshold, listed), hi, tile)
             key = key >> np.uint64(64 - KEY_BITS)
             order = np.lexsort((key, count == 0, own))
             place = ragged(np.bincount(own, minlength=len(size)))[1]
@@ -490,10 +604,21 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most
     """
     sets = settle(set_table(docs, n))
     heads = settle(sets.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") < F.max("doc_id")).alias("copied"), F.any_value("bits").alias("bits")))
+    release(docs.sparkSession)
     total = heads.agg(F.sum("size")).first()[0] or 0
-    keys = tile_keys(docs, n, threshold, listed_grams(docs, n, most, at_once), tile, max(1, -(-int((1 - threshold) * total) // PART_KEYS)))
-    places = settle(meeting_places(settle(candidates(keys, threshold)), heads))
-    near = settle(verify(docs, heads, settle(bounded(places, heads, threshold)), n, threshold))
+    on = settle(able(docs, heads, n, threshold, total))
+    release(docs.sparkSession)
+    n_sets, total = on.agg(F.count("hi"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    sieve = sieve_of(on, n_sets)
+    listed = listed_grams(docs, n, most, at_once, sieve)
+    pairs = settle(candidates(tile_keys(docs, n, threshold, listed, tile, max(1, -(-int((1 - threshold) * total) // PART_KEYS)), sieve), threshold))
+    release(docs.sparkSession)
+    pairs = settle(meeting_places(pairs, heads))
+    release(docs.sparkSession)
+    pairs = settle(bounded(pairs, heads, threshold))
+    release(docs.sparkSession)
+    near = settle(verify(docs, heads, pairs, n, threshold))
+    release(docs.sparkSession)
     # the texts of one document are in one class
     own = sets.groupBy("doc_id").agg(F.min("hi").alias("u"), F.max("hi").alias("last")).where("u < last")
     own = sets.join(own, "doc_id").where("hi > u").select("u", F.col("hi").alias("v"))

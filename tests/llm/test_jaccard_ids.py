@@ -55,3 +55,14 @@ def test_map_columns_and_clashing_names(spark):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.hi) for r in kept.collect()) == [(0, 3), (1, 3)]
     assert {tuple(r) for r in jaccard.jaccard_join(odd).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_chance_matches_are_no_candidates(spark, monkeypatch):
+    """Unrelated texts that share n-grams by chance get no keys; what is near one of them is still found."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(200))) for i in range(300)]
+    rows += [(1000 + i, " ".join(["edited", *t.split()[:190]])) for i, t in rows[:20]]
+    pairs, meet = [], jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: pairs.append(meet(*a)) or pairs[0])
+    assert len(check(spark, rows)) == 40
+    assert pairs[0].count() < 60
