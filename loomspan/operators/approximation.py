@@ -9,6 +9,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,13 @@ class Delaunay:
     The simplex that holds q is the basis of a small linear program: of all convex
     combinations of points that give q, the one with the least mean squared length. A q
     outside the hull takes the weights of the nearest place in it. Equal points count once.
+    Points on one empty sphere are told apart by lengths that are changed by a billionth, so
+    that the triangulation is one and the same for every q. Simplices and hull faces that a q was
+    found in are kept (up to ``KEPT`` of each); other places are tried in them, many at once.
     """
 
+    KEPT = 1 << 14
+
     def __init__(self, points: np.ndarray, most: int = 100_000):
         points = np.asarray(points, float)
         if len(points) > most or not len(points):
@@ -63,7 +69,9 @@ class Delaunay:
         self.centre = self.points.mean(0)
         self.scale = max(np.abs(self.points - self.centre).max(), 1e-300)
         z = (self.points - self.centre) / self.scale
-        self.z, self.lift = z, (z**2).sum(1)
+        self.z, self.lift = z, (z**2).sum(1) + 1e-9 * np.random.default_rng(0).random(len(z))
+        self.cells: dict[tuple, np.ndarray] = {}
+        self.faces: dict[tuple, np.ndarray] = {}
 
     def _program(self, q: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(points, weights) of the optimal basis by the revised simplex method, from a feasible basis of artificial ones."""
@@ -107,18 +115,104 @@ class Delaunay:
         keep = weight > 1e-12
         return self.first[index[keep]], weight[keep] / weight[keep].sum()
 
+    @staticmethod
+    def _inside(inverse: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether in the simplex, weights of its points) of places; a flat one is as exact in length, not in weight."""
+        weight = np.hstack([z, np.ones((len(z), 1))]) @ inverse.T
+        return (weight >= -np.maximum(1e-12, 1e-13 * np.abs(inverse).sum(1))).all(1), np.maximum(weight, 0)
+
+    def _before(self, face: tuple, inverse: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the nearest place in the hull is on the face, that place) of places."""
+        p = self.z[list(face)]
+        weight = (np.hstack([z @ p.T, np.ones((len(z), 1))]) @ inverse.T)[:, :-1]
+        at = weight @ p
+        gap = z - at
+        most = (gap @ self.z.T).max(1) - (gap * at).sum(1)
+        return (weight >= -1e-12).all(1) & (most <= 1e-12 * max(1.0, np.abs(self.z).max() ** 2)), at
+
+    def _keep(self, known: dict, name: tuple, matrix: np.ndarray) -> np.ndarray | None:
+        if np.linalg.cond(matrix) > 1e10:
+            return None
+        if len(known) >= self.KEPT:  # only spares work
+            del known[next(iter(known))]
+        known[name] = np.linalg.inv(matrix)
+        return known[name]
+
+    def many(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices, weights), d + 1 of each a row, of many places; weights of 0 fill up."""
+        q, back = np.unique(np.asarray(q, float), axis=0, return_inverse=True)
+        d = self.z.shape[1]
+        at = (q - self.centre) / self.scale
+        index, weight = np.zeros((len(q), d + 1), int), np.zeros((len(q), d + 1))
+        todo, hull = np.arange(len(q)), np.zeros(len(q), bool)  # hull: known to be a place in the hull
+
+        def take(cell: tuple, inverse: np.ndarray) -> None:
+            nonlocal todo
+            good, w = self._inside(inverse, at[todo])
+            index[todo[good]], weight[todo[good]] = cell, w[good]
+            todo = todo[~good]
+
+        def move(face: tuple, inverse: np.ndarray) -> None:
+            some = todo[~hull[todo]]
+            good, place = self._before(face, inverse, at[some])
+            at[some[good]], hull[some[good]] = place[good], True
+
+        def again() -> None:
+            for known in list(self.cells.items()):
+                if len(todo):
+                    take(*known)
+
+        again()
+        for known in list(self.faces.items()):
+            if len(todo):
+                move(*known)
+        if hull.any():
+            again()
+        while len(todo):
+            one = todo[0]
+            if not hull[one]:
+                w = nearest_in_hull(self.z, at[one])
+                face = tuple(np.flatnonzero(w).tolist())
+                place = w @ self.z
+                if np.abs(place - at[one]).max() > 1e-9:
+                    p = self.z[list(face)]
+                    found = self._keep(self.faces, face, np.block([[p @ p.T, np.ones((len(p), 1))], [np.ones((1, len(p))), np.zeros((1, 1))]]))
+                    if found is not None:
+                        move(face, found)
+                at[one], hull[one] = place, True
+                again()  # places that have moved may be in simplices of before
+                if not len(todo) or todo[0] != one:
+                    continue
+            for nudge in (0, 1e-9, 1e-7):  # on the hull's faces a basis is full only from within
+                cell, _ = self._program(at[one] * (1 - nudge), None)
+                if len(cell) == d + 1 and (name := tuple(cell.tolist())) not in self.cells:
+                    found = self._keep(self.cells, name, np.vstack([self.z[cell].T, np.ones(d + 1)]))
+                    if found is not None:
+                        take(name, found)
+                if not len(todo) or todo[0] != one:
+                    break
+            else:
+                own, w = self.weights(at[one] * self.scale + self.centre)
+                for k, j in enumerate(own[: d + 1]):
+                    index[one, k], weight[one, k] = int(np.flatnonzero(self.first == j)[0]), w[k]
+                todo = todo[1:]
+        weight = np.where(weight > 1e-12, weight, 0)
+        return self.first[index][back], (weight / weight.sum(1, keepdims=True))[back]
+
     def predict(self, df: DataFrame, values: np.ndarray, vector: str, name: str = "predicted") -> DataFrame:
-        """Adds the interpolated value (array<double>) of each row's vector; null vectors have none."""
+        """Adds the interpolated value (array<double>) of each row's vector; vectors that are null or have a part that is no finite number have none."""
         values = np.asarray(values, float).reshape(len(values), -1)
         model = df.sparkSession.sparkContext.broadcast((self, values))
 
-        @F.udf("array<double>", useArrow=True)
-        def interpolate(q):
-            if q is None:
-                return None
+        @F.pandas_udf("array<double>")
+        def interpolate(places: pd.Series) -> pd.Series:
             own, known = model.value
-            index, weight = own.weights(q)
-            return (weight @ known[index]).tolist()
+            out = np.empty(len(places), object)
+            rows = [k for k, q in enumerate(places) if q is not None and np.isfinite(np.asarray(q, float)).all()]
+            if rows:
+                index, weight = own.many(np.stack([np.asarray(places.iloc[k], float) for k in rows]))
+                out[rows] = [r.tolist() for r in np.einsum("rk,rkv->rv", weight, known[index])]
+            return pd.Series(out)
 
         return df.withColumn(name, interpolate(F.col(vector)))
 
