@@ -46,23 +46,37 @@ def kll_rank(value: float, sketch: str = "sketch") -> Column:
 
 
 class Bloom:
-    """A membership sketch: k of m bits a value, kept as 64-bit words (word, bits) in a DataFrame."""
+    """A membership sketch: k of m bits a value, kept as 64-bit words (word, bits) in a DataFrame.
+
+    All bits of a value lie in one segment of 4,096, so that a value is sent and looked up once, not once a bit.
+    """
+
+    WORDS = 64  # of a segment
 
     def __init__(self, capacity: int, fp_rate: float = 0.01):
-        self.m = max(64, math.ceil(-capacity * math.log(fp_rate) / math.log(2) ** 2))
-        self.k = max(1, round(self.m / capacity * math.log(2)))
+        m = max(64, math.ceil(-capacity * math.log(fp_rate) / math.log(2) ** 2))
+        self.k = max(1, round(m / capacity * math.log(2)))
+        self.segments = -(-m // (64 * self.WORDS))
+        self.m = 64 * self.WORDS * self.segments
+
+    def _segment(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value, F.lit(0)), F.lit(self.segments))
+
+    def _hashes(self, value: Column) -> list[Column]:
+        return [F.xxhash64(value, F.lit(1 + i)) for i in range(-(-self.k // 5))]
 
-    def _places(self, value: Column) -> Column:
-        a, b = F.xxhash64(value, F.lit(1)), F.xxhash64(value, F.lit(2)).bitwiseOR(F.lit(1))
-        # halves keep the sum of k steps within 64 bits
-        a, b = F.shiftrightunsigned(a, 2), F.shiftrightunsigned(b, 10)
-        return F.array(*[F.pmod(a + b * i, F.lit(self.m)) for i in range(self.k)])
+    def _bits(self, hashes: list[Column]) -> list[Column]:
+        """The value's k places in its segment, by twelve bits of a hash each."""
+        return [F.shiftrightunsigned(hashes[i // 5], 12 * (i % 5)).bitwiseAND(F.lit(64 * self.WORDS - 1)) for i in range(self.k)]
 
     def build(self, df: DataFrame, value: str) -> DataFrame:
-        """(word, bits); at most m / 64 rows, by a partial OR in every task."""
-        place = df.where(F.col(value).isNotNull()).select(F.explode(self._places(F.col(value).cast("string"))).alias("p"))
+        """(word, bits); at most m / 64 rows. One small row a value is shuffled, by segment."""
+        text = F.col(value).cast("string")
+        sent = df.where(F.col(value).isNotNull()).select(self._segment(text).alias("segment"), *[h.alias(f"p{i}") for i, h in enumerate(self._hashes(text))])
+        places = F.array(*self._bits([F.col(c) for c in sent.columns[1:]]))
+        each = sent.repartition("segment").select("segment", F.explode(places).alias("p"))
         bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
-        return place.groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+        return each.groupBy("segment", F.expr("p div 64").alias("w")).agg(F.bit_or(bit).alias("bits")).select((F.col("segment") * self.WORDS + F.col("w")).alias("word"), "bits")
 
     @staticmethod
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -81,15 +95,14 @@ class Bloom:
     def probe(self, df: DataFrame, value: str, words: DataFrame, name: str = "seen") -> DataFrame:
         """Adds whether a value may have been added; never false for one that was.
 
-        The words lie in one broadcast array if the sketch has up to 2^24 bits; a larger one is joined bit by bit.
+        Segments are broadcast if the sketch has up to 2^24 bits; rows of ``df`` go to the segments of a larger one.
         """
-        if self.m <= 1 << 24:
-            n = self.m // 64 + 1
-            every = df.sparkSession.range(n).join(words, F.col("id") == F.col("word"), "left")
-            table = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("t")).select(F.col("t.bits").alias("__words"))
-            inside = F.forall(self._places(F.col(value).cast("string")), lambda p: F.getbit(F.get("__words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
-            return df.crossJoin(F.broadcast(table)).withColumn(name, F.coalesce(inside, F.lit(False))).drop("__words")
-        keyed = df.withColumn("__row", F.monotonically_increasing_id())
-        bits = keyed.select("__row", F.explode(self._places(F.col(value).cast("string"))).alias("p")).withColumn("word", F.expr("p div 64"))
-        hit = bits.join(words, "word", "left").groupBy("__row").agg(F.bool_and(F.coalesce(F.getbit("bits", (F.col("p") % 64).cast("int")) == 1, F.lit(False))).alias(name))
-        return keyed.join(hit, "__row").drop("__row")
+        offset = F.struct((F.col("word") % self.WORDS).alias("w"), "bits")
+        segments = words.groupBy(F.expr(f"word div {self.WORDS}").alias("__segment")).agg(F.map_from_entries(F.collect_list(offset)).alias("m"))
+        dense = segments.select("__segment", F.transform(F.sequence(F.lit(0), F.lit(self.WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0))).alias("__words"))
+        text = F.col(value).cast("string")
+        inside = F.col(value).isNotNull()
+        for p in self._bits(self._hashes(text)):
+            inside = inside & (F.getbit(F.get("__words", F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
+        met = df.withColumn("__segment", self._segment(text)).join(F.broadcast(dense) if self.m <= 1 << 24 else dense.hint("shuffle_hash"), "__segment", "left")
+        return met.withColumn(name, F.coalesce(inside, F.lit(False))).drop("__words", "__segment")
