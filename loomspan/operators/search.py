@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.joins import small, squared_distance
 
 WINDOW_SIZES = (32, 128, 512, 1024)
+#: Digests of n-grams that a task makes distinct together, and tokens whose n-grams a range is made for (12 bytes each).
+GRAMS_AT_ONCE, GRAMS_OF_A_RANGE = 1 << 20, 1 << 22
+_WORDS_AT_ONCE, _LONG_WORD = 1 << 18, 64
+_draw = np.random.Generator(np.random.PCG64(7))
+_CODES = [(_draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _draw.integers(1, 1 << 60, dtype=np.uint64) * np.uint64(8) + np.uint64(5)) for _ in range(2)]
+_FACTORS = [np.uint64(f) for f in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
 def integer_tokens(text: Column) -> Column:
@@ -67,11 +77,105 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def distinct_ngrams(df: DataFrame, tokens: str, most: int = 3) -> DataFrame:
-    """(n, n_distinct) for n = 1 .. most, exact: grouped by a 128-bit digest, so that long n-grams aren't shuffled."""
-    each = [df.select(F.lit(n).alias("n"), F.explode(ngrams(F.col(tokens), n)).alias("g")) for n in range(1, most + 1)]
-    keyed = reduce(DataFrame.union, each).select("n", F.unhex(F.md5(F.array_join("g", "\x00"))).alias("g")).distinct()
-    return keyed.groupBy("n").agg(F.count(F.lit(1)).alias("n_distinct"))
+def _digests(words: pa.Array) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    words = words.cast(pa.large_string()).fill_null("")
+    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = words.buffers()[2]
+    buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    off = off - off[0]
+    long = np.flatnonzero(np.diff(off) > _LONG_WORD)
+    out = []
+    with np.errstate(over="ignore"):
+        for k, (code, base) in enumerate(_CODES):
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(buf), base, np.uint64)]))
+            back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(buf), pow(int(base), -1, 1 << 64), np.uint64)]))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(code[buf] * power[:-1])])
+            h = _mixed((sums[off[1:]] - sums[off[:-1]]) * back[off[:-1]] + np.diff(off).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            for i in long.tolist():  # sums of powers are weak for long words
+                h[i] = int.from_bytes(hashlib.blake2b(buf[off[i] : off[i + 1]].tobytes(), digest_size=8, salt=bytes([k])).digest(), "little")
+            out.append(h)
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def _unique_digests(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, ``hi`` ascending."""
+    order = np.argsort(hi)
+    hi, lo = hi[order], lo[order]
+    same = np.flatnonzero(hi[1:] == hi[:-1])
+    if (lo[same] != lo[same + 1]).any():  # pairs that differ in ``lo`` only
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    return hi[new], lo[new]
+
+
+def distinct_ngrams(df: DataFrame, tokens: str, most: int = 3, at_most: int | None = None) -> DataFrame:
+    """(n, n_distinct) for n = 1 .. most, exact: by a 96-bit digest (two of 10^10 agree with a chance of 10^-9), so that long n-grams aren't shuffled.
+
+    The digests of a task are made distinct by the million and go packed to the ranges that they fall in. ``at_most``
+    is a bound of the tokens in all, if one is known (they are counted otherwise); it sets the number of ranges only.
+    """
+    spark, words = df.sparkSession, df.select(F.col(tokens).alias("t"))
+    if at_most is None:
+        at_most = words.agg(F.sum(F.size("t"))).first()[0] or 0
+    parts = max(1, -(-int(at_most) // GRAMS_OF_A_RANGE))
+    bounds = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+
+    def emit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(most)]
+
+        def send(n: int) -> pa.RecordBatch:
+            hi, lo = _unique_digests(*map(np.concatenate, zip(*held[n])))
+            held[n].clear()
+            cut = [0, *np.searchsorted(hi, bounds).tolist(), len(hi)]
+            rows = [(n * parts + k, hi[a:b].tobytes() + lo[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["cell", "data"])
+
+        for batch in source:
+            lists = batch.column(0)
+            lists = lists.filter(lists.is_valid())
+            if not len(lists):
+                continue
+            per = np.asarray(pc.list_value_length(lists), np.int64)
+            edge, flat = np.concatenate([[0], np.cumsum(per)]), lists.flatten()
+            i = 0
+            while i < len(per):
+                j = max(i + 1, int(np.searchsorted(edge, edge[i] + _WORDS_AT_ONCE, side="right")) - 1)
+                hashes = _digests(flat.slice(edge[i], edge[j] - edge[i]))
+                left = np.repeat(edge[i + 1 : j + 1] - edge[i], per[i:j]) - np.arange(edge[j] - edge[i])  # words from here to the text's end
+                for n in range(most):
+                    at = np.flatnonzero(left > n)
+                    if len(at):
+                        with np.errstate(over="ignore"):
+                            hi, lo = (_mixed(sum((h[at + k] * _FACTORS[k % len(_FACTORS)] + np.uint64(k) for k in range(1, n + 1)), h[at]) * np.uint64(2 * n + 1)) for h in hashes)
+                        held[n].append((hi, lo.astype(np.uint32)))
+                    if sum(len(x[0]) for x in held[n]) >= GRAMS_AT_ONCE:
+                        yield send(n)
+                i = j
+        for n in range(most):
+            if held[n]:
+                yield send(n)
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = 0, []
+        for batch in source:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cell, raw = k, data.as_py()
+                held.append((np.frombuffer(raw, np.uint64, len(raw) // 12), np.frombuffer(raw, np.uint32, len(raw) // 12, len(raw) // 12 * 8)))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([cell // parts + 1], pa.int32()), pa.array([len(_unique_digests(*map(np.concatenate, zip(*held)))[0])], pa.int64())], names=["n", "n_distinct"])
+
+    found = words.mapInArrow(emit, "cell int, data binary").repartitionById(most * parts, F.col("cell")).mapInArrow(count, "n int, n_distinct bigint")
+    return found.groupBy("n").agg(F.sum("n_distinct").alias("n_distinct"))
 
 
 def find_sequence(df: DataFrame, tokens: str, wanted: Sequence) -> DataFrame:

@@ -139,8 +139,9 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""with w as (select {_WORDS} as ws from documents where text is not null)
 select n, count(distinct array_to_string(ws[i:i + n - 1], ' ')) as n_distinct from (select ws, n, unnest(range(1, len(ws) - n + 2)) as i from w, range(1, 4) r(n)) group by n""")
 def ngram_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "documents").where("text is not null").select(R.word_tokens(F.col("text")).alias("ws"))
-    return R.distinct_ngrams(df, "ws").withColumn("n", F.col("n").cast("bigint"))
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    at_most = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return R.distinct_ngrams(docs.select(R.word_tokens(F.col("text")).alias("ws")), "ws", at_most=at_most // 2 + 1).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query(rf"""with w as (select doc_id, {_WORDS} as ws from documents where text is not null), p as (select doc_id, min(i) - 1 as start from (select doc_id, ws, unnest(range(1, len(ws))) as i from w) where ws[i] = 'of' and ws[i + 1] = 'the' group by 1)
